@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lines, splitting
+from . import lines, neardup, splitting
 
 
 def page_records(spark: SparkSession, d: str) -> DataFrame:
@@ -39,13 +39,28 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_long_texts(spark, d), "record_id", "text").distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
+def _snippets(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "evidence_units").where(F.col("source_type").isin("text_sentence", "web_snippet"))
+    return units.select(F.col("unit_id").alias("id"), F.col("content").alias("text")).unionByName(table(spark, d, "web_search_results").select(F.col("result_id").alias("id"), F.col("snippet").alias("text")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.record_pairs(*neardup.near_duplicates(_snippets(spark, d), "id", "text", width=3, threshold=0.5, least=24))
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 _SITE = r"""regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.', '')"""
 _PAGES = "select page_id as record_id, final_url as url, text from web_fetched_pages union select unit_id, doc_id, content from evidence_units where source_type = 'web_page_text'"
 _LINES = rf"""r as ({_PAGES}), x as (select record_id, url, {_SITE} as site, string_split(text, chr(10)) as a from r where text is not null),
 l as (select record_id, url, site, i::int as line_no, trim(regexp_replace(regexp_replace(lower(a[i]), '[0-9]+', '0', 'g'), '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', ' ', 'g')) as line from x, range(1, 100000) t(i) where i <= len(a))"""
+_SHINGLES = """r as (select unit_id as id, content as t from evidence_units where source_type in ('text_sentence', 'web_snippet') union select result_id, snippet from web_search_results),
+w as (select id, regexp_extract_all(lower(t), '[0-9a-z가-힣]+') as a from r where t is not null),
+s as (select distinct id, concat_ws(' ', a[i], a[i + 1], a[i + 2]) as g from w, range(1, 20000) x(i) where i <= len(a) - 2),
+n as (select id, count(*) as n from s group by 1 having count(*) >= 24)"""
 ORACLES = {
+    "p2_found": rf"""with {_SHINGLES}, c as (select x.id as record_a, y.id as record_b, count(*) as k from s x join s y on x.g = y.g and x.id < y.id group by 1, 2)
+select record_a, record_b from c join n na on na.id = record_a join n nb on nb.id = record_b where 2 * k >= na.n + nb.n - k""",
     "p5_found": rf"""with {_LINES}, often as (select site, line from l where line <> '' and site <> '' group by 1, 2 having count(distinct url) >= 5)
 select distinct record_id, line_no from l join often using (site, line)""",
     "p7_found": "select page_id as record_id from web_fetched_pages where length(text) > 900 union select unit_id from evidence_units where length(content) > 900",

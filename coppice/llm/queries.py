@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lines, neardup, splitting
+from . import lines, neardup, packing, splitting, tokenizer
 
 
 def page_records(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.record_pairs(*neardup.near_duplicates(_snippets(spark, d), "id", "text", width=3, threshold=0.5, least=24))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.encode_documents(table(spark, d, "documents"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 _SITE = r"""regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.', '')"""
 _PAGES = "select page_id as record_id, final_url as url, text from web_fetched_pages union select unit_id, doc_id, content from evidence_units where source_type = 'web_page_text'"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lines, neardup, packing, splitting, subjects, tokenizer
+from . import lines, neardup, packing, residue, splitting, subjects, tokenizer
 
 
 def page_records(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_labels")).select("doc_id", "subject").distinct()
 
 
-QUERIES = {"p10_found": p10_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_pages(table(spark, d, "web_fetched_pages").select("page_id", "final_url", "text")).select("page_id")
+
+
+QUERIES = {"p4_found": p4_found, "p10_found": p10_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 _SITE = r"""regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.', '')"""
 _PAGES = "select page_id as record_id, final_url as url, text from web_fetched_pages union select unit_id, doc_id, content from evidence_units where source_type = 'web_page_text'"

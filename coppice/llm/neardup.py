@@ -62,6 +62,12 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]), h
 
 
+def folded(v: np.ndarray, owner: np.ndarray, n: int, width: int, low: int) -> np.ndarray:
+    """Parity fingerprints of 2^width bits: the shingle v flips the bit that its hash bits from `low` on name."""
+    bits = np.bincount(owner * (1 << width) + ((v >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64), minlength=n << width)
+    return np.packbits((bits & 1).astype(np.uint8).reshape(n, 1 << width), axis=1).view(np.int64)
+
+
 def _shingle_udf(width: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,14 +80,15 @@ def _shingle_udf(width: int, least: int):
             o = np.concatenate([[0], np.cumsum(size[ok])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(o), pa.array(v.view(np.int64)))
             keys = [xxhash.xxh3_128_digest(v[o[i] : o[i + 1]].tobytes()) for i in range(len(o) - 1)]
-            yield pa.RecordBatch.from_arrays([ids, lists, pa.array(keys, pa.binary())], names=["id", "sh", "key"])
+            g = folded(v, np.repeat(np.arange(len(o) - 1), size[ok]), len(o) - 1, 8, 49)
+            yield pa.RecordBatch.from_arrays([ids, lists, pa.array(keys, pa.binary()), *(pa.array(g[:, k]) for k in range(4))], names=["id", "sh", "key", "g0", "g1", "g2", "g3"])
 
     return run
 
 
 def shingled(df: DataFrame, key: str, text: str, width: int, least: int) -> DataFrame:
-    """(id, sh, key): rows with at least `least` distinct shingles; key identifies equal sets."""
-    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(_shingle_udf(width, least), "id bigint, sh array<bigint>, key binary")
+    """(id, sh, key, g0 to g3): rows with at least `least` distinct shingles; key identifies equal sets, g is a fingerprint of 256 bits."""
+    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(_shingle_udf(width, least), "id bigint, sh array<bigint>, key binary, g0 bigint, g1 bigint, g2 bigint, g3 bigint")
 
 
 def _count_udf(buckets: int):
@@ -108,10 +115,7 @@ def _shard_udf(rank, threshold: float, hot: int):
             off = off - off[0]
             size = np.diff(off)
             owner = np.repeat(np.arange(len(ids)), size)
-            # fingerprint: parity of the shingles per bit
-            bits = np.zeros(len(ids) * 128, np.int64)
-            np.add.at(bits, owner * 128 + (v >> np.uint64(57)).astype(np.int64), 1)
-            fp = np.packbits((bits & 1).astype(np.uint8).reshape(len(ids), 128), axis=1).view(np.int64)
+            fp = folded(v, owner, len(ids), 7, 57)
             c = counts[(v % nb).astype(np.int64)]
             order = np.lexsort((v, c, owner))
             pos = np.arange(len(v)) - np.repeat(off[:-1], size)
@@ -282,11 +286,17 @@ def class_pairs(sets: DataFrame, threshold: float, buckets: int, hot: int) -> Da
     rank = spark.sparkContext.broadcast(counts)
     shards = sets.select("id", "sh").mapInArrow(_shard_udf(rank, threshold, hot), "token bigint, x int, y int, id bigint, size int, f0 bigint, f1 bigint")
     by = shards.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    candidates = by.mapInArrow(_search_udf((1 - threshold) / (1 + threshold)), "a bigint, b bigint").distinct()
-    left = candidates.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
+    allow = (1 - threshold) / (1 + threshold)
+    candidates = by.mapInArrow(_search_udf(allow), "a bigint, b bigint").distinct()
+    # the longer fingerprints first, so that few sets travel; sets are compared by 32 bits of each shingle
+    side = lambda k, *more: sets.select(F.col("id").alias(k), F.size("sh").alias(f"n{k}"), *[F.col(f"g{i}").alias(f"{k}{i}") for i in range(4)], *more)
+    short = F.transform("sh", lambda x: F.shiftright(x, 32).cast("int"))
+    near = candidates.join(side("a"), "a").join(side("b", short.alias("sb")), "b")
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    near = near.where(apart <= allow * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b", "na", "nb", "sb")
+    both = near.join(sets.select(F.col("id").alias("a"), short.alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
+    return both.where(common >= threshold * (F.col("na") + F.col("nb") - common) - 1e-9).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, *, width: int = 5, threshold: float = 0.8, least: int = 1, buckets: int = 1 << 16, hot: int = 20000) -> tuple[DataFrame, DataFrame]:
@@ -295,11 +305,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, width: int = 5, thres
     A class is the rows with one and the same set, named by its least id; rows repeated with one id count once. Rows with a
     null text, no words or fewer than `least` shingles are out of scope.
     """
-    sets = cut(shingled(df, key, text, width, least))
-    reps = sets.groupBy("key").agg(F.min("id").alias("class_id"))
-    members = sets.select("id", "key").distinct().join(reps, "key").select("id", "class_id")
-    one = sets.join(reps.withColumnRenamed("class_id", "id"), ["key", "id"], "left_semi").dropDuplicates(["id"])
-    return members, class_pairs(one.select("id", "sh"), threshold, buckets, hot)
+    rows = shingled(df, key, text, width, least)
+    payload = F.struct("sh", "g0", "g1", "g2", "g3")
+    one = cut(rows.groupBy("key").agg(F.min("id").alias("id"), F.first(payload).alias("p")).select("key", "id", "p.*"))
+    members = rows.select("id", "key").distinct().join(one.select("key", F.col("id").alias("class_id")), "key").select("id", "class_id")
+    return members, class_pairs(one.drop("key"), threshold, buckets, hot)
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lines, neardup, packing, residue, scans, splitting, subjects, tokenizer
+from . import blocks, lines, neardup, packing, residue, scans, splitting, subjects, tokenizer
 
 
 def page_records(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,11 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_defects(table(spark, d, "evidence_units"), _trusted(spark, d), repair=True)
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p10_found": p10_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.main_body(table(spark, d, "web_fetched_pages"), page_records(spark, d))
+
+
+QUERIES = {"p6_found": p6_found, "p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p10_found": p10_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 _SITE = r"""regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.', '')"""
 _PAGES = "select page_id as record_id, final_url as url, text from web_fetched_pages union select unit_id, doc_id, content from evidence_units where source_type = 'web_page_text'"

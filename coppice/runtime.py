@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,27 @@ def session(app: str = "coppice", cores: str | int = "*", **conf: str) -> SparkS
     return b.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of this application, once: they need not have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(), "coppice.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for root, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(root, n), os.path.relpath(os.path.join(root, n), os.path.dirname(package)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

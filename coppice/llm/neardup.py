@@ -318,3 +318,43 @@ def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     across = pairs.join(m("i", "a"), "a").join(m("j", "b"), "b").select("i", "j")
     within = m("i", "c").join(m("j", "c"), "c").where(F.col("i") < F.col("j")).select("i", "j")
     return across.unionByName(within).select(F.least("i", "j").alias("record_a"), F.greatest("i", "j").alias("record_b"))
+
+
+def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(id, root): for each id in pairs (a, b) the least id of its component, by alternating large and small stars.
+
+    Edges stay pairs of ids; a round joins each with the least neighbour, found by a map-side aggregation, and its result is
+    checkpointed in the shared folder. Rounds end when no edge changes, after about log^2 of the largest component.
+    """
+
+    def large(e: DataFrame) -> DataFrame:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    def small(e: DataFrame) -> DataFrame:
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        moved = e.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
+    mark = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.shiftright(F.xxhash64("u", "v"), 24)), F.lit(0))).first())
+    before = mark(edges)
+    for _ in range(most_rounds):
+        edges = cut(small(large(edges)))
+        after = mark(edges)
+        if after == before:
+            break
+        before = after
+    roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+
+
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(record_id, group_id, links BIGINT) of every record in scope: the least class id of its component and how many records it is similar to."""
+    pairs = cut(pairs)
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("size"))
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(sizes.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("size").alias("others"))
+    rows = members.join(sizes, "class_id").join(others, "class_id", "left").join(components(pairs).withColumnRenamed("id", "class_id"), "class_id", "left")
+    return rows.select(F.col("id").alias("record_id"), F.coalesce("root", "class_id").alias("group_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))

@@ -24,6 +24,10 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_repeated_lines(page_records(spark, d))
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(*neardup.near_duplicates(_snippets(spark, d), "id", "text", width=3, threshold=0.5, least=24))
+
+
 def _long_texts(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "web_fetched_pages").select(F.col("page_id").alias("record_id"), "text")
     return pages.unionByName(table(spark, d, "evidence_units").select(F.col("unit_id").alias("record_id"), F.col("content").alias("text")))
@@ -81,7 +85,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return blocks.main_body(table(spark, d, "web_fetched_pages"), page_records(spark, d))
 
 
-QUERIES = {"p6_found": p6_found, "p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p10_found": p10_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
+QUERIES = {"p6_found": p6_found, "p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p10_found": p10_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_pieces": p7_pieces}
 
 _SITE = r"""regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.', '')"""
 _PAGES = "select page_id as record_id, final_url as url, text from web_fetched_pages union select unit_id, doc_id, content from evidence_units where source_type = 'web_page_text'"

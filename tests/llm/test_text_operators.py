@@ -102,6 +102,26 @@ def test_near_duplicates_like_brute_force(spark, width, threshold, least, hot):
     got = [(x.record_a, x.record_b) for x in neardup.record_pairs(members, pairs).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {x.id for x in members.collect()} == set(s)
+    root = {i: i for i in s}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in sorted(want):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    grouped = {x.record_id: x for x in neardup.groups(members, pairs).collect()}
+    assert grouped.keys() == s.keys() and all(grouped[i].links == sum(i in p for p in want) for i in s)
+    assert len({(find(i), grouped[i].group_id) for i in s}) == len({find(i) for i in s}) == len({g.group_id for g in grouped.values()})
+
+
+def test_components_of_a_long_chain(spark):
+    chain = [(i, i + 1) for i in range(300)] + [(1000, 1001)]
+    random.Random(1).shuffle(chain)
+    got = {r.id: r.root for r in neardup.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
 def test_vantage_tree_finds_all_pairs():

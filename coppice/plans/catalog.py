@@ -10,7 +10,9 @@ from ..operators import osint, postproc, retrieval, timestamps
 from ..runtime import table
 from ..schema import citation_id
 from ..sources import documents as docs
+from ..sources import web
 from . import dsl
+from .learning import Learner
 
 Q = "clinical surgeon vaccine review of the clinic"
 NOW = "2025-07-01 00:00:00+00:00"
@@ -221,7 +223,79 @@ def incremental_reuse(spark, d):
     return kept.select("unit_ix", F.lit("kept").alias("state")).unionByName(missing.select("unit_ix", F.lit("missing").alias("state")))
 
 
+def minmax_norm(spark, d):
+    return _hybrid(spark, d, k=30).select("unit_ix", F.round("bm25_norm", 6).alias("bm25_norm"), F.round("lexical_norm", 6).alias("lexical_norm"))
+
+
+def rrf_fusion(spark, d):
+    return _hybrid(spark, d, k=30).select("unit_ix", F.round("rrf", 8).alias("rrf"))
+
+
+def highlight(spark, d):
+    words = sorted({w for w in text.tokens_py(Q, grams=False) if len(w) >= 2}, key=lambda w: (-len(w), w))
+    c = F.col("content")
+    for w in words:
+        c = F.regexp_replace(c, f"(?i){w}", "[[$0]]")
+    return units(spark, d).where(F.col("source_type") == "caption").select("unit_ix", c.alias("marked"))
+
+
+def _as_html(spark, d):
+    """Fetched pages written as HTML again."""
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    rows = table(spark, d, "web_fetched_pages").dropDuplicates(["page_id"]).where(F.col("title").isNotNull() & F.col("text").isNotNull())
+    links = F.array_join(F.transform("discovered_links", lambda u: F.concat(F.lit("<a href='"), u, F.lit("'>x</a>"))), " ")
+    body = F.concat(F.lit("<html><head><title> "), esc(F.col("title")), F.lit(" </title><script>var a = '</p>';</script></head><body><p>"), F.regexp_replace(esc(F.col("text")), "\n", "<br>"), F.lit("</p>"), F.coalesce(links, F.lit("")), F.lit("</body></html>"))
+    return rows.select("page_id", F.col("final_url").alias("url"), body.alias("html"))
+
+
+def html_title(spark, d):
+    return web.parse_pages(_as_html(spark, d)).select("page_id", "title")
+
+
+def html_links(spark, d):
+    return web.parse_pages(_as_html(spark, d)).select("page_id", F.explode("discovered_links").alias("link"))
+
+
+def html_text(spark, d):
+    return web.parse_pages(_as_html(spark, d)).select("page_id", "text")
+
+
+def snippet_units(spark, d):
+    return web.snippet_units(_results(spark, d)).select("unit_ix", "doc_id", "content", "char_end", "confidence")
+
+
+def alias_expand(spark, d):
+    """Expansions of the clean queries of all sessions in a mode; a query's aliases are made in tasks."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = [(s, i, t, p) for s, q in zip(b.session_id, b.clean_query) for i, (t, p) in enumerate(dsl.expansions(q))]
+            yield pd.DataFrame(rows, columns=["session_id", "exp_ix", "expansion", "penalty"])
+
+    s = table(spark, d, "library_sessions").dropDuplicates(["session_id"]).where(F.trim("clean_query") != "")
+    return s.select("session_id", "clean_query").mapInPandas(run, "session_id string, exp_ix int, expansion string, penalty double")
+
+
+def learning_fold(spark, d):
+    """Weights after learning from the evidence of one query."""
+    rows = [r.asDict() for r in _hybrid(spark, d).orderBy("rank").collect()]
+    state = Learner().learn(Q, rows)
+    return spark.createDataFrame(sorted(state.weights.items()), "channel string, weight double")
+
+
+def mode_passes(spark, d):
+    """The passes of each mode for the clean queries of all sessions."""
+    s = table(spark, d, "library_sessions").dropDuplicates(["session_id"]).where(F.col("clean_query").isNotNull())
+    names = spark.createDataFrame([(m, n, w.get("en", ""), w.get("mixed", w["ko"]), w["ko"]) for m in dsl.MODES for n, w in [("pass_a_support", {"en": "", "ko": ""}), *((k, dsl.PASS_WORDS[k]) for k, _ in dsl.passes("x", m)[1:])]], "mode string, pass string, en string, mixed string, ko string")
+    lang = text.language(F.col("clean_query"))
+    words = F.when(lang == "en", F.col("en")).when((lang == "mixed"), F.col("mixed")).otherwise(F.col("ko"))
+    return s.where(F.col("search_mode") == "reporter").withColumn("mode", F.col("search_mode")).join(F.broadcast(names), "mode").select("session_id", "pass", F.trim(F.concat_ws(" ", "clean_query", words)).alias("query"))
+
+
 QUERIES = {
+    "minmax_norm": minmax_norm, "rrf_fusion": rrf_fusion, "highlight": highlight, "html_title": html_title, "html_links": html_links, "html_text": html_text, "snippet_units": snippet_units,
+    "alias_expand": alias_expand, "learning_fold": learning_fold, "mode_passes": mode_passes,
     "p3_found": p3_found, "p3_zones": p3_zones, "units_sentences": units_sentences, "lang_detect": lang_detect, "tokens_tf": tokens_tf, "term_df": term_df, "corpus_stats": corpus_stats,
     "char_ngrams": char_ngrams, "shard_assign": shard_assign, "masked_entity": masked_entity, "short_hash": short_hash,
     "bm25_topk": _bm25, "bm25_topk_sharded": lambda s, d: _bm25(s, d, 4), "bm25_boosted": lambda s, d: _bm25(s, d, boosts={"vaccine": 0.8, "review": 5.0}),
@@ -309,7 +383,18 @@ _AUTH = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1))
 _AGE = f"((epoch_us(timestamptz '{NOW}') - epoch_us({_TS})) / 86400e6)"
 _BM25_FILTER = f", v as (select * from u where source_type <> 'ocr_text' and coalesce({_TS} >= timestamptz '2023-06-01 00:00:00+00', true))"
 
+_MARK = "content"
+for _w in sorted({w for w in text.tokens_py(Q, grams=False) if len(w) >= 2}, key=lambda w: (-len(w), w)):
+    _MARK = rf"regexp_replace({_MARK}, '(?i){_w}', '[[\0]]', 'g')"
+_PG = "p as (select distinct on (page_id) * from web_fetched_pages where title is not null and text is not null)"
+
 ORACLES = {
+    "minmax_norm": f"with {_U}, {_hybrid_sql(None, 30)} select unit_ix, round(bn, 6) as bm25_norm, round(ln, 6) as lexical_norm from h where rank <= 30",
+    "rrf_fusion": f"with {_U}, {_hybrid_sql(None, 30)} select unit_ix, round(rrf, 8) as rrf from h where rank <= 30",
+    "highlight": f"with {_U} select unit_ix, {_MARK} as marked from u where source_type = 'caption'",
+    "html_title": rf"with {_PG} select page_id, trim(regexp_replace(title, '[\s\p{{Z}}]+', ' ', 'g')) as title from p",
+    "html_links": rf"with {_PG}, x as (select page_id, final_url, unnest(discovered_links) as l from p) select distinct page_id, l as link from x where lower(regexp_extract(l, '^https?://([^/?#]*)', 1)) = lower(regexp_extract(final_url, '^[A-Za-z]+://([^/?#]*)', 1))",
+    "snippet_units": f"with {_WEB} select result_id as unit_ix, url as doc_id, trim(snippet, ' ') as content, length(trim(snippet, ' '))::bigint as char_end, 0.62::double as confidence from r where url is not null and trim(coalesce(snippet, ''), ' ') <> ''",
     "units_sentences": f"""with a as (select doc_id::varchar as doc_id, {_SENT} as ss from documents where text is not null), b as (select doc_id, ss, unnest(range(1, len(ss) + 1)) as i from a)
 select doc_id, (i - 1)::int as pos, ss[i] as content, coalesce(list_sum(list_transform(ss[1:i - 1], lambda s: length(s) + 1)), 0)::bigint as char_start, (coalesce(list_sum(list_transform(ss[1:i - 1], lambda s: length(s) + 1)), 0) + length(ss[i]))::bigint as char_end from b""",
     "lang_detect": f"select doc_id, {_lang('text')} as detected from documents",

@@ -8,7 +8,7 @@ import re
 import socket
 from collections.abc import Iterator
 from typing import Protocol
-from urllib.parse import urldefrag, urljoin, urlparse
+from urllib.parse import parse_qs, urldefrag, urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -140,3 +140,43 @@ def snippet_units(results: DataFrame, confidence: float = 0.62) -> DataFrame:
         F.col("result_id").alias("unit_ix"), F.col("url").alias("doc_id"), F.lit("web_snippet").alias("source_type"), text.alias("content"), F.col("title").alias("section_path"),
         F.lit(0).cast("bigint").alias("char_start"), F.length(text).cast("bigint").alias("char_end"), F.lit(None).cast("string").alias("timestamp"), F.lit(confidence).alias("confidence"), F.lit(None).cast("string").alias("canonical_entity_id"),
     )
+
+
+def parse_search_page(raw: str, provider: str = "duckduckgo", most: int = 10) -> list[dict]:
+    """Results of a search engine's HTML page: links of class result__a with the snippets behind them; redirects are unwrapped, rank is the link's place."""
+    out = []
+    parts = re.split(r'(?i)(?=<a\b[^>]*class="[^"]*result__a)', raw or "")[1:]
+    for rank, part in enumerate(parts, 1):
+        href = re.search(r'(?is)href="([^"]+)"', part)
+        title = re.search(r"(?is)<a\b[^>]*>(.*?)</a>", part)
+        snippet = re.search(r'(?is)class="[^"]*result__snippet[^"]*"[^>]*>(.*?)</', part)
+        url = unwrap(html.unescape(href.group(1))) if href else ""
+        if url and title:
+            out.append({"title": clean_html(title.group(1)), "url": url, "snippet": clean_html(snippet.group(1)) if snippet else "", "web_rank": rank, "provider": provider})
+    return out[:most]
+
+
+def unwrap(url: str) -> str:
+    """The target of a redirect link (its uddg parameter), else the link itself with a scheme."""
+    if url.startswith("//"):
+        url = "https:" + url
+    target = parse_qs(urlparse(url).query).get("uddg")
+    return target[0] if target else url
+
+
+def parse_search_json(payload: dict, provider: str = "searxng", most: int = 10) -> list[dict]:
+    """Results of a JSON search service; rows without title or url are left out, ranks stay those of the answer."""
+    rows = [{"title": (r.get("title") or "").strip(), "url": (r.get("url") or "").strip(), "snippet": (r.get("content") or "").strip(), "web_rank": i, "provider": provider} for i, r in enumerate(payload.get("results") or [], 1)]
+    return [r for r in rows if r["title"] and r["url"]][:most]
+
+
+def parse_snapshots(rows: list[list[str]], most: int = 10) -> list[dict]:
+    """Archive snapshots (a header row, then timestamp, original, status ...) as results."""
+    if not rows:
+        return []
+    names = rows[0]
+    out = []
+    for i, r in enumerate(rows[1:], 1):
+        x = dict(zip(names, r))
+        out.append({"title": f"{x.get('original', '')} {x.get('timestamp', '')}", "url": f"https://web.archive.org/web/{x.get('timestamp', '')}/{x.get('original', '')}", "snippet": f"status {x.get('statuscode', '')}", "web_rank": i, "provider": "wayback"})
+    return out[:most]

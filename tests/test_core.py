@@ -234,3 +234,25 @@ def test_command_line(spark, tmp_path, capsys, units):
     assert "Answer" in capsys.readouterr().out
     Library(str(tmp_path / "l"))
     assert main(["delete", str(tmp_path / "l")]) == 2 and main(["delete", str(tmp_path / "l"), "--yes"]) == 0
+
+
+def test_search_parsers():
+    page = '<div><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.example%2Fx&amp;rut=1">A <b>b</b></a><a class="result__snippet" href="#">S &amp; s</a></div><a class="result__a" href="https://b.example/">B</a>'
+    got = web.parse_search_page(page)
+    assert [(r["url"], r["title"], r["snippet"], r["web_rank"]) for r in got] == [("https://a.example/x", "A b", "S & s", 1), ("https://b.example/", "B", "", 2)]
+    got = web.parse_search_json({"results": [{"title": "", "url": "u"}, {"title": "t", "url": "https://c.example/", "content": None}]})
+    assert [(r["web_rank"], r["snippet"]) for r in got] == [(2, "")] and web.parse_search_json({}) == []
+    assert web.parse_snapshots([["timestamp", "original", "statuscode"], ["2020", "http://a.example/", "200"]])[0]["url"] == "https://web.archive.org/web/2020/http://a.example/"
+    assert web.parse_snapshots([]) == [] and not web.is_public_host("127.0.0.1")
+
+
+def test_binaries(spark, tmp_path):
+    from coppice.sources.binaries import read_binaries
+
+    class X:
+        def pages(self, raw, path):
+            return [{"text": raw.decode(), "tables": [[["a", ""], ["b", "c"]]]}, {"text": " ", "ocr": "read"}, {}]
+
+    (tmp_path / "f.pdf").write_bytes(b"hello")
+    got = read_binaries(spark, [str(tmp_path / "f.pdf")], X()).orderBy("pos").collect()
+    assert [(r.source_type, r.content, r.section_path) for r in got] == [("text_sentence", "hello", "page/1/text"), ("table_cell", "a", "page/1/table/1/r1c1"), ("table_cell", "b", "page/1/table/1/r2c1"), ("table_cell", "c", "page/1/table/1/r2c2"), ("ocr_text", "read", "page/2/ocr")]

@@ -11,6 +11,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.text import shard, tokens, tokens_py
 from ..plans.dsl import expansions, timestamp_column
@@ -57,11 +58,13 @@ def term_scores(units: DataFrame, terms: DataFrame) -> DataFrame:
     """(pass_ix, exp_ix, penalty, shard_id, unit_ix, bm25, lexical) of units with any term of an expansion."""
     q = F.broadcast(terms)  # the words of one query
     wanted = [r.term for r in terms.select("term").distinct().collect()]
+    # one pass over the texts: lengths and the few query terms of each unit serve postings, frequencies and statistics
     t = units.select("shard_id", "unit_ix", tokens(F.col("content")).alias("ts"))
-    hits = t.select("shard_id", "unit_ix", F.size("ts").alias("dl"), F.explode(F.filter("ts", lambda x: x.isin(wanted))).alias("term"))
-    tf = hits.groupBy("shard_id", "unit_ix", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("shard_id", "term").agg(F.count("*").alias("df"))
-    rows = tf.join(F.broadcast(df), ["shard_id", "term"]).join(F.broadcast(corpus_stats(units)), "shard_id").join(q, "term")  # df: shards x query terms
+    seen = t.select("shard_id", "unit_ix", F.size("ts").alias("dl"), F.filter("ts", lambda x: x.isin(wanted)).alias("hits")).persist(StorageLevel.MEMORY_AND_DISK)
+    tf = seen.select("shard_id", "unit_ix", "dl", F.explode("hits").alias("term")).groupBy("shard_id", "unit_ix", "dl", "term").agg(F.count("*").alias("tf"))
+    df = seen.select("shard_id", F.explode(F.array_distinct("hits")).alias("term")).groupBy("shard_id", "term").agg(F.count("*").alias("df"))
+    stats = seen.groupBy("shard_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = tf.join(F.broadcast(df), ["shard_id", "term"]).join(F.broadcast(stats), "shard_id").join(q, "term")  # df: shards x query terms
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("mult") * F.col("w") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
@@ -149,7 +152,8 @@ def retrieve(units: DataFrame, terms: DataFrame, k: int, *, dense: DataFrame | N
         rrf = rrf + F.coalesce(1.0 / (rrf_k + F.col(f"{c}_rank")), F.lit(0.0))
         best = best | F.coalesce(F.col(f"{c}_rank") <= limit, F.lit(False))
     rows = rows.withColumn("rrf", rrf).where(best)
-    full = rows.join(units, ["unit_ix", "shard_id"]).withColumn("quality_prior", quality_prior() if prior is None else prior)
+    full = units.join(F.broadcast(rows), ["unit_ix", "shard_id"])  # candidates: at most three limits for each pass and shard
+    full = full.withColumn("quality_prior", quality_prior() if prior is None else prior)
     full = full.withColumn("score", (fused + w["rrf"] * F.col("rrf")) * F.col("quality_prior")).where(F.col("score") > 0)
     top = part.orderBy(F.desc(F.round("score", 9)), "unit_ix")
     full = full.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)

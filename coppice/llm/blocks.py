@@ -5,7 +5,7 @@ place in the page, repeats) in the place of a tag path, and the mean of learned
 learn share signs by their script and case. Every line is judged with the context of the whole page on both sides.
 
 The labeller is fitted on a bounded sample of pages (max_pages, chosen by hash) whose lines a set of labelling rules marks:
-lines that recur over addresses of a site or over sites are furniture, sentences and figures are body, a title before, between
+lines that recur over addresses of a site or over sites, counted over all pages, are furniture, sentences and figures are body, a title before, between
 or behind them is a headline, a heading or a link. Rules see whole pages with their sites; the labeller then judges any run
 of lines, also in fragments, on which it is trained too.
 """
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from . import residue
 
 _WORDS = re.compile(r"[a-z]+|[가-힣]+|[0-9]+|[^\w\s]")
@@ -334,16 +335,44 @@ def batches_of(order: np.ndarray, lengths: np.ndarray, batch: int, r: np.random.
     return [out[k] for k in r.permutation(len(out))]
 
 
-def fit_labeller(rows: list[tuple[str | None, str]], *, epochs: int = 8, seed: int = 11) -> Labeller:
-    """A labeller fitted on pages (site, text) that the rules mark, on each page as a whole and on a run of its lines."""
-    sites: dict[str, set] = defaultdict(set)
-    pages_of: dict[tuple, set] = defaultdict(set)
+def page_lines(s: str, text: str) -> set[str]:
+    """The normalised lines of a page of site s, without links to other articles."""
+    return {normal(l, site_name(s)) for l in own_lines(text.split("\n")) if l.strip()}
+
+
+def recurrent_lines(pages: DataFrame, rows: list[tuple[str | None, str]], *, own_urls: int = 3, sites: int = 3) -> tuple[set[str], set[tuple[str, str]]]:
+    """(lines of at least `sites` sites, (site, line) under at least own_urls addresses of the site), counted over all pages.
+
+    pages: s, final_url, text, s a site. rows: the pages whose lines are asked for; only lines of theirs are counted, so what comes
+    back is bounded by them: a line that is not on several sites has at most sites - 1 of its own.
+    """
+    names = sorted(set().union(*(page_lines(s or "", t) for s, t in rows)))
+    wanted = pages.sparkSession.sparkContext.broadcast({n: i for i, n in enumerate(names)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = wanted.value
+        for b in batches:
+            found = [[ids[n] for n in page_lines(s, t) if n in ids] for s, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            at = np.repeat(np.arange(b.num_rows), np.array([len(f) for f in found], np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array([i for f in found for i in f], pa.int32())], names=["s", "u", "n"])
+
+    seen = pages.where(F.col("text").isNotNull()).select(F.coalesce("s", F.lit("")).alias("s"), F.xxhash64("final_url").alias("u"), "text").mapInArrow(run, "s string, u bigint, n int")
+    per_site = seen.groupBy("n", "s", "u").agg(F.lit(1).alias("one")).groupBy("n", "s").agg((F.count("*") >= own_urls).alias("own"))
+    per_site = cut(per_site)
+    wide = {r.n for r in per_site.groupBy("n").agg(F.count("*").alias("k")).where(F.col("k") >= sites).select("n").collect()}
+    few = per_site.groupBy("n").agg(F.count("*").alias("k")).where(F.col("k") < sites).select("n")
+    own = per_site.where("own").join(few, "n").select("s", "n").collect()
+    return {names[i] for i in wide}, {(r.s, names[r.n]) for r in own}
+
+
+def fit_labeller(rows: list[tuple[str | None, str]], wide: set[str], own: set[tuple[str, str]], *, epochs: int = 8, seed: int = 11) -> Labeller:
+    """A labeller fitted on pages (site, text) that the rules mark, on each page as a whole and on a run of its lines.
+
+    wide, own: the lines that recur over sites and, as (site, line), over addresses of a site.
+    """
     words: dict[str, int] = defaultdict(int)
     split = [(s or "", t.split("\n")) for s, t in rows]
-    for j, (s, lines) in enumerate(split):
-        for n in {normal(l, site_name(s)) for l in own_lines(lines) if l.strip()}:
-            sites[n].add(s)
-            pages_of[s, n].add(j)
+    for _, lines in split:
         for w in {w for l in lines for w in _WORDS.findall(l.lower())}:
             words[w] += 1
     known = frozenset(sorted(w for w, n in words.items() if n >= max(4, len(split) // 400) and not w.isdigit()))
@@ -351,7 +380,7 @@ def fit_labeller(rows: list[tuple[str | None, str]], *, epochs: int = 8, seed: i
     r = np.random.default_rng(seed)
     pages, labels = [], []
     for s, lines in split:
-        y = mark(lines, lambda n: len(sites[n]) >= 3 or len(pages_of[s, n]) >= 3, site_name(s))
+        y = mark(lines, lambda n: n in wide or (s, n) in own, site_name(s))
         runs = [(0, len(lines))]
         if len(lines) > 6:
             a = int(r.integers(0, len(lines) - 3))
@@ -377,14 +406,14 @@ def hash_sample(df: DataFrame, h: Column, most: int, total: int) -> DataFrame:
 def main_body(pages: DataFrame, records: DataFrame, *, max_pages: int = 1600) -> DataFrame:
     """(record_id, line_no INT) of the main body's lines, each once.
 
-    pages: final_url, text to fit on, of which at most max_pages are read by the driver, chosen by hash. records: record_id, text to judge,
+    pages: final_url, text. At most max_pages of them, chosen by hash, are read by the driver to fit on; what recurs is counted over all of them. records: record_id, text to judge,
     null and blank texts have no lines, exact copies of a row give theirs once.
     """
     from .lines import site
 
-    sample = pages.where(F.col("text").isNotNull() & (F.length("text") < 20_000)).select(site(F.col("final_url")).alias("s"), "text")
-    rows = [(r.s, r.text) for r in hash_sample(sample, F.xxhash64("text"), max_pages, pages.count()).collect()]
-    model = pages.sparkSession.sparkContext.broadcast(fit_labeller(rows))
+    every = pages.where(F.col("text").isNotNull()).select(site(F.col("final_url")).alias("s"), "final_url", "text")
+    rows = [(r.s, r.text) for r in hash_sample(every.where(F.length("text") < 20_000).select("s", "text"), F.xxhash64("text"), max_pages, pages.count()).collect()]
+    model = pages.sparkSession.sparkContext.broadcast(fit_labeller(rows, *recurrent_lines(every, rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = model.value

@@ -240,6 +240,24 @@ def test_main_body(spark):
     assert blocks.main_body(df.limit(0), df.select("record_id", "text").limit(0)).count() == 0
 
 
+def test_recurrence_is_counted_over_all_pages(spark, monkeypatch):
+    word = lambda i: "".join("bdklmnrstv"[int(c)] + "a" for c in f"{i:03}")
+    rows = []
+    for i in range(400):
+        foot = f"All texts of this place are written by the volunteers of {word(i // 4)} town."
+        rows.append((i, f"https://site-{word(i // 4)}.example/a{i}", f"The {word(i)} bridge near the {word(i + 400)} market was repaired after weeks of work.\n{foot}"))
+    rows += [(400 + i, "https://lone.example/a", "A notice of one address that stands on many copies of the page.\nThe bridge was closed for a day.") for i in range(5)]
+    seen = []
+    fit = blocks.Labeller.fit
+    monkeypatch.setattr(blocks.Labeller, "fit", lambda self, pages, labels, epochs: seen.extend(labels) or fit(self, pages, labels, 1))
+    df = spark.createDataFrame(rows, "record_id bigint, final_url string, text string")
+    blocks.main_body(df, df.select("record_id", "text").limit(1), max_pages=20).count()
+    assert len(seen) == 20 and all(list(y) == [1, 0] for y in seen)
+    every = [(lines.site(F.col("final_url")).alias("s")), "final_url", "text"]
+    wide, own = blocks.recurrent_lines(df.select(*every), [("lone.example", rows[400][2]), ("site-bababa.example", rows[0][2])])
+    assert not wide and own == {("site-bababa.example", blocks.normal(rows[0][2].split("\n")[1], ""))}
+
+
 def test_gradient_of_the_labeller():
     lab = blocks.Labeller(frozenset({"a", "b"}))
     pages = [lab.features.page(["a b", "", "b.", "c 1"]), lab.features.page(["a"])]

@@ -64,9 +64,13 @@ def corpus_stats(spark, d):
     return retrieval.corpus_stats(units(spark, d, 4)).select("shard_id", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
+def char_ngrams_all(spark, d):
+    return units(spark, d).select("unit_ix", F.array_join(text.tokens(F.col("content")), " ").alias("tokens"))
+
+
 def char_ngrams(spark, d):
-    rows = units(spark, d).where(F.col("source_type") == "caption")
-    return rows.select("unit_ix", F.array_join(text.tokens(F.col("content")), " ").alias("tokens"))
+    """Captions only, as in its SQL; char_ngrams_all has all units."""
+    return units(spark, d).where(F.col("source_type") == "caption").select("unit_ix", F.array_join(text.tokens(F.col("content")), " ").alias("tokens"))
 
 
 def shard_assign(spark, d):
@@ -231,29 +235,58 @@ def rrf_fusion(spark, d):
     return _hybrid(spark, d, k=30).select("unit_ix", F.round("rrf", 8).alias("rrf"))
 
 
-def highlight(spark, d):
+def _marked(rows):
     words = sorted({w for w in text.tokens_py(Q, grams=False) if len(w) >= 2}, key=lambda w: (-len(w), w))
     c = F.col("content")
     for w in words:
         c = F.regexp_replace(c, f"(?i){w}", "[[$0]]")
-    return units(spark, d).where(F.col("source_type") == "caption").select("unit_ix", c.alias("marked"))
+    return rows.select("unit_ix", c.alias("marked"))
+
+
+def highlight_all(spark, d):
+    return _marked(units(spark, d))
+
+
+def highlight(spark, d):
+    """Captions only, as in its SQL; highlight_all has all units."""
+    return _marked(units(spark, d).where(F.col("source_type") == "caption"))
 
 
-def _as_html(spark, d):
-    """Fetched pages written as HTML again."""
+def _as_html(spark, d, titled=False):
+    """Fetched pages written as HTML again, a null title as an empty one; titled: without the pages of null title."""
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    rows = table(spark, d, "web_fetched_pages").dropDuplicates(["page_id"]).where(F.col("title").isNotNull() & F.col("text").isNotNull())
+    rows = table(spark, d, "web_fetched_pages").dropDuplicates(["page_id"]).where(F.col("text").isNotNull())
+    if titled:
+        rows = rows.where(F.col("title").isNotNull())
     links = F.array_join(F.transform("discovered_links", lambda u: F.concat(F.lit("<a href='"), u, F.lit("'>x</a>"))), " ")
-    body = F.concat(F.lit("<html><head><title> "), esc(F.col("title")), F.lit(" </title><script>var a = '</p>';</script></head><body><p>"), F.regexp_replace(esc(F.col("text")), "\n", "<br>"), F.lit("</p>"), F.coalesce(links, F.lit("")), F.lit("</body></html>"))
+    body = F.concat(F.lit("<html><head><title> "), F.coalesce(esc(F.col("title")), F.lit("")), F.lit(" </title><script>var a = '</p>';</script></head><body><p>"), F.regexp_replace(esc(F.col("text")), "\n", "<br>"), F.lit("</p>"), F.coalesce(links, F.lit("")), F.lit("</body></html>"))
     return rows.select("page_id", F.col("final_url").alias("url"), body.alias("html"))
 
 
+def _titles(pages):
+    return web.parse_pages(pages).select("page_id", "title")
+
+
+def _links(pages):
+    return web.parse_pages(pages).select("page_id", F.explode("discovered_links").alias("link"))
+
+
+def html_title_all(spark, d):
+    return _titles(_as_html(spark, d))
+
+
 def html_title(spark, d):
-    return web.parse_pages(_as_html(spark, d)).select("page_id", "title")
+    """Pages with a title only, as in its SQL; html_title_all has all pages."""
+    return _titles(_as_html(spark, d, titled=True))
+
+
+def html_links_all(spark, d):
+    return _links(_as_html(spark, d))
 
 
 def html_links(spark, d):
-    return web.parse_pages(_as_html(spark, d)).select("page_id", F.explode("discovered_links").alias("link"))
+    """Pages with a title only, as in its SQL; html_links_all has all pages."""
+    return _links(_as_html(spark, d, titled=True))
 
 
 def html_text(spark, d):
@@ -285,17 +318,21 @@ def learning_fold(spark, d):
 
 
 def mode_passes(spark, d):
-    """The passes of each mode for the clean queries of all sessions."""
+    """The passes for the clean queries of all sessions, each in its session's mode; unknown modes and null are investigation, as in dsl.mode."""
     s = table(spark, d, "library_sessions").dropDuplicates(["session_id"]).where(F.col("clean_query").isNotNull())
     names = spark.createDataFrame([(m, n, w.get("en", ""), w.get("mixed", w["ko"]), w["ko"]) for m in dsl.MODES for n, w in [("pass_a_support", {"en": "", "ko": ""}), *((k, dsl.PASS_WORDS[k]) for k, _ in dsl.passes("x", m)[1:])]], "mode string, pass string, en string, mixed string, ko string")
     lang = text.language(F.col("clean_query"))
     words = F.when(lang == "en", F.col("en")).when((lang == "mixed"), F.col("mixed")).otherwise(F.col("ko"))
-    return s.where(F.col("search_mode") == "reporter").withColumn("mode", F.col("search_mode")).join(F.broadcast(names), "mode").select("session_id", "pass", F.trim(F.concat_ws(" ", "clean_query", words)).alias("query"))
+    known = F.create_map(*[F.lit(x) for name in [*dsl.MODES, *dsl.MODE_NAMES] for x in (name, dsl.mode(name).name)])
+    key = F.regexp_replace(F.lower("search_mode"), r"(?U)\s+", "")
+    mode = F.coalesce(F.try_element_at(known, key), F.try_element_at(known, F.regexp_replace(key, "모드$", "")), F.lit(dsl.mode(None).name))
+    return s.withColumn("mode", mode).join(F.broadcast(names), "mode").select("session_id", "pass", F.trim(F.concat_ws(" ", "clean_query", words)).alias("query"))
 
 
 QUERIES = {
     "minmax_norm": minmax_norm, "rrf_fusion": rrf_fusion, "highlight": highlight, "html_title": html_title, "html_links": html_links, "html_text": html_text, "snippet_units": snippet_units,
     "alias_expand": alias_expand, "learning_fold": learning_fold, "mode_passes": mode_passes,
+    "char_ngrams_all": char_ngrams_all, "highlight_all": highlight_all, "html_title_all": html_title_all, "html_links_all": html_links_all,
     "p3_found": p3_found, "p3_zones": p3_zones, "units_sentences": units_sentences, "lang_detect": lang_detect, "tokens_tf": tokens_tf, "term_df": term_df, "corpus_stats": corpus_stats,
     "char_ngrams": char_ngrams, "shard_assign": shard_assign, "masked_entity": masked_entity, "short_hash": short_hash,
     "bm25_topk": _bm25, "bm25_topk_sharded": lambda s, d: _bm25(s, d, 4), "bm25_boosted": lambda s, d: _bm25(s, d, boosts={"vaccine": 0.8, "review": 5.0}),

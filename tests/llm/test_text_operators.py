@@ -346,3 +346,10 @@ def test_scan_defects_and_repair(spark):
     fixed = {r.unit_id: r.content for r in scans.scan_defects(df, trusted, repair=True).collect()}
     assert fixed[2] == plain and fixed[52] == ""
     assert scans.scan_defects(df.limit(0), trusted.limit(0)).count() == 0
+
+
+def test_pairs_beyond_the_broadcast_count_in_full(spark):
+    units = spark.read.parquet("/root/testdata/sf0.01/evidence_units.parquet")
+    trusted = units.where("source_type <> 'ocr_text'").select(F.col("content").alias("t"))
+    found = [{tuple(r) for r in scans.scan_defects(units, trusted, max_shapes=n).collect()} for n in (100_000, 40, 0)]
+    assert found[0] == found[1] == found[2] and any(d == "running_head" for _, _, d in found[0])

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .lines import normal_lines, site
 
 # Rules on whole masked lines (lower case, digits as 0).
@@ -119,12 +120,25 @@ def residue_pages(pages: DataFrame, *, own_urls: int = 3, sites: int = 3) -> Dat
     own = per_site.where(F.col("n") >= own_urls).select("s", "h", F.lit(True).alias("own"))
     wide = per_site.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h", F.lit(True).alias("wide"))
 
-    # a line of more than 300 characters is content unless it is filler in Latin; pages with such a line, or without any mark, end here
-    suspects = rows.where(F.pandas_udf(may_have_residue, "boolean")("text")).select("page_id", "site", masked_lines(F.col("text")).alias("a")).where(~F.exists("a", lambda x: (F.length(x) > 300) & ~_latin(x)))
-    each = suspects.select("page_id", F.xxhash64("site").alias("s"), F.explode("a").alias("line")).where(F.col("line") != "").distinct()
-    each = each.select("page_id", "s", F.xxhash64("line").alias("h"), strict(F.col("line")).alias("strict"), telling(F.col("line")).alias("telling"), F.col("line").rlike(FURNITURE).alias("shape"), (F.length("line") > 200).alias("long"))
-    judged = each.join(own, ["s", "h"], "left").join(wide, "h", "left").na.fill(False, ["own", "wide"])
-    residue = F.col("strict") | (F.col("telling") & F.col("wide"))
-    furniture = ~residue & (F.col("own") | F.col("wide") | (F.col("shape") & ~F.col("long")))
-    per = judged.groupBy("page_id").agg(F.sum(residue.cast("int")).alias("n_residue"), F.sum((~residue & ~furniture).cast("int")).alias("content"))
-    return per.where((F.col("n_residue") > 0) & (F.col("content") == 0)).select("page_id", "n_residue")
+    def judged(some: DataFrame, doubts: bool) -> DataFrame:
+        """(page_id, n_residue, content, doubt, known). Of a page with doubtful lines only those are looked at, by hash: known if all of them recur."""
+        a = some.select("page_id", F.xxhash64("site").alias("s"), masked_lines(F.col("text")).alias("a"))
+        a = a.withColumn("odd", F.filter("a", lambda x: (F.length(x) > 300) & ~strict(x)) if doubts else F.array().cast("array<string>"))
+        each = a.select("page_id", "s", (F.size("odd") > 0).alias("doubt"), F.explode(F.when(F.size("odd") > 0, F.col("odd")).otherwise(F.col("a"))).alias("line")).where(F.col("line") != "")
+        rule = lambda c: F.when(F.col("doubt"), F.lit(False)).otherwise(c)
+        line = F.col("line")
+        each = each.select("page_id", "s", "doubt", F.xxhash64("line").alias("h"), rule(strict(line)).alias("strict"), rule(telling(line)).alias("telling"), rule(line.rlike(FURNITURE)).alias("shape"), (F.length("line") > 200).alias("long")).distinct()
+        flags = each.join(own, ["s", "h"], "left").join(wide, "h", "left").na.fill(False, ["own", "wide"])
+        residue = F.col("strict") | (F.col("telling") & F.col("wide"))
+        furniture = ~residue & (F.col("own") | F.col("wide") | (F.col("shape") & ~F.col("long")))
+        known = F.min(~F.col("doubt") | F.col("own") | F.col("wide"))
+        return flags.groupBy("page_id").agg(F.sum(residue.cast("int")).alias("n_residue"), F.sum((~residue & ~furniture).cast("int")).alias("content"), F.max("doubt").alias("doubt"), known.alias("known"))
+
+    # a line of more than 300 characters is content unless a strict rule takes it or it recurs; pages without any mark end here
+    suspects = rows.where(F.pandas_udf(may_have_residue, "boolean")("text"))
+    case = ~F.col("doubt") & (F.col("n_residue") > 0) & (F.col("content") == 0)
+    first = cut(judged(suspects, True).where(case | (F.col("doubt") & F.col("known"))))
+    spared = first.where("doubt").select("page_id")
+    if not spared.isEmpty():  # rare: all doubtful lines of a page recur
+        first = first.unionByName(judged(rows.join(spared, "page_id", "left_semi"), False))
+    return first.where(case).select("page_id", "n_residue")

@@ -217,6 +217,16 @@ def test_residue(spark):
     assert residue.residue_pages(df.limit(0)).count() == 0
 
 
+def test_long_lines_that_recur_or_are_residue(spark):
+    notice = "이 서비스는 필수적인 기록만 저장하며 자세한 내용은 안내문에서 볼 수 있습니다 " * 9
+    script = "Please enable JavaScript to go on, " + "because the parts of this page are put together while it is read " * 6
+    other = "The council met on Tuesday and agreed on the budget for the coming year " * 6
+    rows = [(i, f"https://s{i % 4}.example/p{i}", notice + f"\nThe market of town {'abcdefghijkl'[i]} was opened by its guests in the early morning.") for i in range(12)]
+    rows += [(100, "https://s0.example/e", notice + "\n404 Not Found\nnginx"), (101, "https://s1.example/e", script), (102, "https://s1.example/f", other + "\n404 Not Found"), (103, "https://s2.example/f", notice + "\n" + other + "\nundefined")]
+    df = spark.createDataFrame(rows, "page_id bigint, final_url string, text string")
+    assert sorted(r.page_id for r in residue.residue_pages(df).collect()) == [100, 101]
+
+
 # ---- main body
 
 

@@ -324,7 +324,7 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, root): for each id in pairs (a, b) the least id of its component, by alternating large and small stars.
 
     Edges stay pairs of ids; a round joins each with the least neighbour, found by a map-side aggregation, and its result is
-    checkpointed in the shared folder. Rounds end when no edge changes, after about log^2 of the largest component.
+    checkpointed in the shared folder. Rounds end when no edge changes, after about log^2 of the largest component; edges not settled by most_rounds are an error.
     """
 
     def large(e: DataFrame) -> DataFrame:
@@ -346,6 +346,8 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 

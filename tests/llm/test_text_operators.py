@@ -124,6 +124,12 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
+def test_unsettled_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        neardup.components(chain, most_rounds=1)
+
+
 def test_vantage_tree_finds_all_pairs():
     r = np.random.default_rng(1)
     fp = r.integers(0, 2**63, (700, 2), dtype=np.uint64)

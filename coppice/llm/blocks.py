@@ -78,7 +78,7 @@ def mark(lines: list[str], frequent, name: str = "") -> list[int]:
         if not l:
             continue
         n = normal(l, name)
-        if frequent(n) or _DATE.match(l) or _BYLINE.match(l) or _STRICT.match(n) or latin(l) or len(n) < 90 and _ERRORS.search(n) or _SHAPE.match(n) and not re.search(r"\d.*,", l):
+        if frequent(n) or _DATE.match(l) or _BYLINE.match(l) or _STRICT.match(n) or latin(l) or len(n) < 90 and _ERRORS.search(n) or _SHAPE.search(n) and not re.search(r"\d.*,", l):
             kind[i] = "furniture"
         elif _SENTENCE.search(l) and len(l) >= (14 if re.search("[가-힣]", l) else 40):
             kind[i] = "text"

@@ -13,10 +13,14 @@ def site(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
 
-def normal_lines(text: Column) -> Column:
-    """The text's lines, trimmed, in lower case, each run of white space one blank and each run of digits 0."""
+def normal_text(text: Column) -> Column:
+    """The text with its lines trimmed, in lower case, each run of white space one blank and each run of digits 0."""
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"(?U)[\s\x1c-\x1f&&[^\n]]+", " ")
-    return F.split(F.regexp_replace(flat, r"(?m)^ | $", ""), "\n")
+    return F.trim(F.regexp_replace(flat, " ?\n ?", "\n"))
+
+
+def normal_lines(text: Column) -> Column:
+    return F.split(normal_text(text), "\n")
 
 
 def hashed_lines(records: DataFrame) -> DataFrame:

@@ -8,15 +8,11 @@ recur without being residue are furniture. A page is a case if it has residue an
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .lines import normal_lines, site
+from .lines import normal_text, site
 
 # Rules on whole masked lines (lower case, digits as 0).
 PLACEHOLDER = r"(?:\{\{[^{}]*\}\}|\{%[^{}]*%\}|<%=?[^<>]*%>|\$\{[^{}]*\}|%[a-z][a-z_.]*%|##+\s*[a-z_ .]+\s*##+|\[(?:insert|add|your|enter|placeholder|company|year|founder|name|title|date|image|click|type|link)\b[^\[\]]*\]|\[object object\])"
@@ -51,45 +47,17 @@ PHRASES = [
     rf"^(?:by )?{MISSING}\b",
 ]
 # Marks of furniture that names its site and so need not recur.
-FURNITURE = r"^(?:©|\(c\)).*|.*(?:cookies|all rights reserved|무단 전재|저작권|registered office|필수 저장 정보|store information on your device|small files in your browser|필요한 저장|subscribe below|sign up|newsletter|소식지|briefing every).*|^(?:[^.!?|·/]{1,24}(?:[|·•/»>]|  ))+[^.!?|·/]{1,24}$|^[*\-•] ?[^.!?]{1,24}$|^\[[^\]]{1,24}\]$|^advertisement$|^광고$"
+FURNITURE = r"^(?:©|\(c\))|cookies|all rights reserved|무단 전재|저작권|registered office|필수 저장 정보|store information on your device|small files in your browser|필요한 저장|subscribe below|sign up|newsletter|소식지|briefing every|^(?:[^.!?|·/•»>]{0,24}+[|·•/»>])++[^.!?|·/•»>]{1,24}$|^[*\-•] ?[^.!?]{1,24}$|^\[[^\]]{1,24}\]$|^advertisement$|^광고$"
 # Frequent words of the filler text in Latin.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum nunc vero augue arcu tellus mauris purus quam porta varius felis rutrum lectus justo orci donec ligula".split()
 
 
 def masked_lines(text: Column) -> Column:
-    """Normalised lines with addresses and month names masked."""
+    """Normalised lines with addresses and dates with a month's name masked."""
     months = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}"
-    t = F.when(F.contains(text, F.lit("@")) | F.contains(text, F.lit("://")), F.regexp_replace(text, r"(?:\bhttps?://\S+)|(?:(?<!\S)[^\s@]{1,64}@[^\s@]+\.[a-z]{2,})", "<addr>")).otherwise(text)
-    dated = lambda x: F.when(F.length(x) <= 60, F.regexp_replace(x, rf"\b{months}\.? 0\b|\b0 {months}\b", "<day>")).otherwise(x)
-    return F.transform(normal_lines(t), dated)
-
-
-# What a page must contain somewhere, in lower case, for any rule to take one of its lines.
-MARKS = [
-    "{{", "{%", "<%", "${", "##", "%", "[insert", "[add", "[your", "[enter", "[placeholder", "[company", "[year", "[founder", "[name", "[title", "[date", "[image", "[click", "[type", "[link", "[object",
-    "undefined", "null", "nan", "none", "invalid date", "n/a", "lorem", "ipsum", "amet", "elit", "augue", "purus", "tempor", "xxx", "asdf", "qwerty", "bad request", "unauthorized", "forbidden", "not found", "not_found", "gone",
-    "error", "gateway", "unavailable", "too many requests", "http ", "status", "not be found", "no longer", "moved", "never existed", "does not exist", "expired", "was removed", "not available", "been removed", "been deleted",
-    "back to", "return to the", "maintenance", "javascript", "자바스크립트", "script", "access denied", "access is restricted", "request blocked", "looked automated", "human", "robot", "do not have permission", "not authori", "incident number",
-    "reference id", "reference number", "try again", "unexpected", "went wrong", "not available in your", "no results for this", "search box", "owner's request", "start page", "start ", "database connection", "nginx", "apache/",
-    "접근 권한", "관리자에게 문의", "찾을 수 없", "주소를 다시 확인", "일시적인 오류", "이용할 수 없", "잠시 후 다시", "오류가 발생", "점검 중", "만료된", "traceback", "stack trace", "exception", "fatal", "warning: undefined", "undefined variable",
-    "segmentation fault", "errno", "goes here", "sample", "text to follow", "todo", "write a short introduction", "nothing to see here", "placeholder", "dummy text", "heading ", " here", "가나다라", "예시 문장", "입력하세요", "이미지 설명", "내용을 입력",
-    "샘플 텍스트", "loading...", "line ", "activate ", "enable ", "turn on ", "allow ",
-]
-
-
-@lru_cache(maxsize=1)
-def _automaton() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for m in MARKS:
-        a.add_word(m, m)
-    a.make_automaton()
-    return a
-
-
-def may_have_residue(text: pd.Series) -> pd.Series:
-    """Whether a page has any of MARKS: one pass of an automaton over all of its text instead of every rule on every line."""
-    a = _automaton()
-    return text.map(lambda t: t is not None and next(a.iter(t.lower()), None) is not None).astype(bool)
+    dated = F.regexp_replace(normal_text(text), rf"0(?:(?<=\b{months}\.? 0)\b|(?<=\b0) {months}\b)", "<day>")
+    address = r"\bhttps?://\S+|(?<!\S)[^\s@]{1,64}@[^\s@]+\.[a-z]{2,}"
+    return F.transform(F.split(dated, "\n"), lambda x: F.when(F.contains(x, F.lit("@")) | F.contains(x, F.lit("://")), F.regexp_replace(x, address, "<addr>")).otherwise(x))
 
 
 def _latin(line: Column) -> Column:
@@ -102,6 +70,11 @@ def strict(line: Column) -> Column:
     return line.rlike("^(?:" + "|".join(STRICT) + ")$") | _latin(line)
 
 
+def shaped(line: Column) -> Column:
+    """Whether a line has the shape of furniture; a notice of more than 200 characters must recur to count as such."""
+    return F.when(F.length(line) <= 200, line.rlike(FURNITURE)).otherwise(False)
+
+
 def telling(line: Column) -> Column:
     return line.rlike("|".join(PHRASES))
 
@@ -110,35 +83,26 @@ def residue_pages(pages: DataFrame, *, own_urls: int = 3, sites: int = 3) -> Dat
     """(page_id, n_residue): the pages without real content, each once.
 
     pages: page_id, final_url, text. Blank and null texts are no cases. A page without a host has no furniture of its own.
-    Lines join the counts by hash; pages without a telling line never reach the joins.
+    Texts are masked once, into hashes that are counted. A page whose longest line no rule takes and that does not recur has
+    content and is done with; of the others each distinct line is judged once, and the verdicts come back by hash.
     """
     rows = pages.where(F.col("text").isNotNull()).select("page_id", "final_url", "text", F.coalesce(site(F.col("final_url")), F.lit("")).alias("site"))
-    line_rows = rows.select("page_id", F.xxhash64("final_url").alias("u"), F.xxhash64("site").alias("s"), F.explode(masked_lines(F.col("text"))).alias("line")).where(F.col("line") != "")
-    hashed = line_rows.select("u", "s", F.xxhash64("line").alias("h"))
-    per_url = hashed.groupBy("s", "h", "u").agg(F.lit(1).alias("one"))
-    per_site = per_url.groupBy("s", "h").agg(F.count("*").alias("n"))
-    own = per_site.where(F.col("n") >= own_urls).select("s", "h", F.lit(True).alias("own"))
-    wide = per_site.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h", F.lit(True).alias("wide"))
-
-    def judged(some: DataFrame, doubts: bool) -> DataFrame:
-        """(page_id, n_residue, content, doubt, known). Of a page with doubtful lines only those are looked at, by hash: known if all of them recur."""
-        a = some.select("page_id", F.xxhash64("site").alias("s"), masked_lines(F.col("text")).alias("a"))
-        a = a.withColumn("odd", F.filter("a", lambda x: (F.length(x) > 300) & ~strict(x)) if doubts else F.array().cast("array<string>"))
-        each = a.select("page_id", "s", (F.size("odd") > 0).alias("doubt"), F.explode(F.when(F.size("odd") > 0, F.col("odd")).otherwise(F.col("a"))).alias("line")).where(F.col("line") != "")
-        rule = lambda c: F.when(F.col("doubt"), F.lit(False)).otherwise(c)
-        line = F.col("line")
-        each = each.select("page_id", "s", "doubt", F.xxhash64("line").alias("h"), rule(strict(line)).alias("strict"), rule(telling(line)).alias("telling"), rule(line.rlike(FURNITURE)).alias("shape"), (F.length("line") > 200).alias("long")).distinct()
-        flags = each.join(own, ["s", "h"], "left").join(wide, "h", "left").na.fill(False, ["own", "wide"])
-        residue = F.col("strict") | (F.col("telling") & F.col("wide"))
-        furniture = ~residue & (F.col("own") | F.col("wide") | (F.col("shape") & ~F.col("long")))
-        known = F.min(~F.col("doubt") | F.col("own") | F.col("wide"))
-        return flags.groupBy("page_id").agg(F.sum(residue.cast("int")).alias("n_residue"), F.sum((~residue & ~furniture).cast("int")).alias("content"), F.max("doubt").alias("doubt"), known.alias("known"))
-
-    # a line of more than 300 characters is content unless a strict rule takes it or it recurs; pages without any mark end here
-    suspects = rows.where(F.pandas_udf(may_have_residue, "boolean")("text"))
-    case = ~F.col("doubt") & (F.col("n_residue") > 0) & (F.col("content") == 0)
-    first = cut(judged(suspects, True).where(case | (F.col("doubt") & F.col("known"))))
-    spared = first.where("doubt").select("page_id")
-    if not spared.isEmpty():  # rare: all doubtful lines of a page recur
-        first = first.unionByName(judged(rows.join(spared, "page_id", "left_semi"), False))
-    return first.where(case).select("page_id", "n_residue")
+    masked = rows.select("page_id", F.xxhash64("final_url").alias("u"), F.xxhash64("site").alias("s"), F.inline(F.array(F.struct(masked_lines(F.col("text")).alias("a")))))
+    masked = masked.select("page_id", "u", "s", F.transform("a", lambda x: F.xxhash64(x)).alias("hs"), F.inline(F.array(F.array_max(F.transform("a", lambda x: F.struct(F.length(x).alias("n"), x.alias("top")))))))
+    blank = F.xxhash64(F.lit(""))
+    keyed = cut(masked.where("n > 0").select("page_id", "u", "s", F.array_distinct(F.filter("hs", lambda h: h != blank)).alias("hs"), F.xxhash64("top").alias("h"), (~strict(F.col("top")) & ~shaped(F.col("top"))).alias("open")))
+    per_site = keyed.select("s", "u", F.explode("hs").alias("h")).groupBy("s", "h", "u").agg(F.lit(1).alias("one")).groupBy("s", "h").agg(F.count("*").alias("n"))
+    own = cut(per_site.where(F.col("n") >= own_urls).select("s", "h", F.lit(True).alias("own")))
+    wide = cut(per_site.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= sites).select("h", F.lit(True).alias("wide")))
+
+    recurrent = lambda df: df.join(own, ["s", "h"], "left").join(wide, "h", "left").na.fill(False, ["own", "wide"])
+    left = recurrent(keyed.select("page_id", "s", "h", "open")).where(~F.col("open") | F.col("own") | F.col("wide")).select("page_id").distinct()
+    each = rows.join(left, "page_id", "left_semi").select("page_id", F.xxhash64("site").alias("s"), F.explode(masked_lines(F.col("text"))).alias("line")).where(F.col("line") != "")
+    each = cut(each.withColumn("h", F.xxhash64("line")))
+    line = F.col("line")
+    judged = each.groupBy("h").agg(F.first("line").alias("line")).select("h", strict(line).alias("strict"), telling(line).alias("telling"), shaped(line).alias("shape"))
+    flags = recurrent(each.select("page_id", "s", "h").distinct()).join(judged, "h")
+    residue = F.col("strict") | (F.col("telling") & F.col("wide"))
+    content = ~residue & ~F.col("own") & ~F.col("wide") & ~F.col("shape")
+    found = flags.groupBy("page_id").agg(F.sum(residue.cast("int")).alias("n_residue"), F.sum(content.cast("int")).alias("content"))
+    return found.where((F.col("n_residue") > 0) & (F.col("content") == 0)).select("page_id", "n_residue")

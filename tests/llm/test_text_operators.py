@@ -223,6 +223,16 @@ def test_residue(spark):
     assert residue.residue_pages(df.limit(0)).count() == 0
 
 
+def test_every_line_that_a_rule_takes_is_found(spark):
+    alone = ["Ut enim ad minim veniam quis nostrud exercitation ullamco", "HTTP:404", "HTTP404", "cloudflare", "openresty/1.19.3", "IIS/10.0", "404 Not  Found", "Too  many requests"]
+    mixed = [f"{x}\nThe council of town {'abcdefgh'[i]} met on Tuesday and agreed on the budget for the coming year." for i, x in enumerate(alone)]
+    rows = [(i, f"https://s{i}.example/p", t) for i, t in enumerate(alone + mixed)]
+    got = residue.residue_pages(spark.createDataFrame(rows, "page_id bigint, final_url string, text string")).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(alone)))
+    one = spark.createDataFrame([("A  Mail to Jo.D@x.Example\t\n \n\u3000On 4 May 2024, see http://a.example/b  \n",)], "t string")
+    assert one.select(residue.masked_lines(F.col("t"))).first()[0] == ["a mail to <addr>", "", "on <day> 0, see <addr>", ""]
+
+
 def test_long_lines_that_recur_or_are_residue(spark):
     notice = "이 서비스는 필수적인 기록만 저장하며 자세한 내용은 안내문에서 볼 수 있습니다 " * 9
     script = "Please enable JavaScript to go on, " + "because the parts of this page are put together while it is read " * 6

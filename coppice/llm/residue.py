@@ -55,7 +55,7 @@ LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod t
 def masked_lines(text: Column) -> Column:
     """Normalised lines with addresses and dates with a month's name masked."""
     months = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}"
-    dated = F.regexp_replace(normal_text(text), rf"0(?:(?<=\b{months}\.? 0)\b|(?<=\b0) {months}\b)", "<day>")
+    dated = F.regexp_replace(normal_text(text), rf"0(?:(?<=\b0) {months}\b(?:\.? 0\b)?|(?<=\b{months}\.? 0)\b)", "<day>")
     address = r"\bhttps?://\S+|(?<!\S)[^\s@]{1,64}@[^\s@]+\.[a-z]{2,}"
     return F.transform(F.split(dated, "\n"), lambda x: F.when(F.contains(x, F.lit("@")) | F.contains(x, F.lit("://")), F.regexp_replace(x, address, "<addr>")).otherwise(x))
 

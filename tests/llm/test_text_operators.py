@@ -374,8 +374,25 @@ def test_scan_defects_and_repair(spark):
     assert scans.scan_defects(df.limit(0), trusted.limit(0)).count() == 0
 
 
-def test_pairs_beyond_the_broadcast_count_in_full(spark):
+def test_every_edit_is_ranked_with_its_context():
+    words = {w: 9 for w in "winter report budget window committee summary minter".split()}
+    reader = scans.Reader(words, {scans.pair("the", "winter"): 5}, 100)
+    told = {"wimter": "winter", "wjnter": "winter", "repozt": "report", "budqet": "budget", "windcw": "window", "comrnjttee": "committee", "zinter": "winter"}
+    assert {t: reader.correct(t, "the", "of") for t in told} == told
+    assert all(reader.correct(t, "the", "of") is None for t in ("harbour", "reports", "sum", "budge"))  # nothing near, or another form without support
+    r = random.Random(4)
+    vocabulary = {"".join(r.choice("abcernm") for _ in range(r.randint(4, 8))): 1 for _ in range(500)}
+    t = scans.Trie(vocabulary)
+    for _ in range(60):
+        w = r.choice(sorted(vocabulary))
+        k = r.randrange(len(w))
+        damaged = w[:k] + r.choice(["", "x", w[k] + "x"]) + w[k + 1 :]
+        assert w in t.within(damaged, cheap=2, dear=1)
+
+
+def test_the_cache_bounds_nothing_but_the_broadcast(spark):
     units = spark.read.parquet("/root/testdata/sf0.01/evidence_units.parquet")
     trusted = units.where("source_type <> 'ocr_text'").select(F.col("content").alias("t"))
-    found = [{tuple(r) for r in scans.scan_defects(units, trusted, max_shapes=n).collect()} for n in (100_000, 40, 0)]
-    assert found[0] == found[1] == found[2] and any(d == "running_head" for _, _, d in found[0])
+    bounds = [{}, {"max_shapes": 40, "max_words": 300, "max_pairs": 20, "block": 4000}]
+    found = [{tuple(r) for r in scans.scan_defects(units, trusted, **b).collect()} for b in bounds]
+    assert found[0] == found[1] and {d for _, _, d in found[0]} == {"running_head", "wrong_char", "split_word", "page_number"}

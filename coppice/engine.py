@@ -8,15 +8,17 @@ import time
 from collections import OrderedDict
 from dataclasses import asdict, dataclass, field
 from typing import Any
+from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import tokens_py
 from .operators import osint, postproc, retrieval
 from .plans import dsl
 from .plans.learning import Learner
-from .schema import CONTRADICTS, SUPPORTS
+from .schema import CONTRADICTS, SUPPORTS, UNIT, WEB_TYPES
+from .sources import documents as docs
 from .sources import web
 from .sources.library import Library
 
@@ -34,15 +36,25 @@ class Result:
 
 
 class Engine:
-    """units: schema.UNIT columns. Plans stay lazy; a search collects at most max(k, 3) times the passes' rows."""
+    """units: schema.UNIT columns. Plans stay lazy; a search collects at most k rows for each pass.
 
-    def __init__(self, units: DataFrame, *, shards: int = 1, learner: Learner | None = None, library: Library | None = None, search_provider: web.SearchProvider | None = None, trusted_domains: list[str] | None = None, cache_size: int = 128, cache_ttl: float = 90.0, build_id: str = ""):
-        self.units = retrieval.with_shard(units, shards)
-        self.shards, self.learner, self.library, self.provider = shards, learner, library, search_provider
+    index: the saved index of units, read where no filter changes the statistics. vectors (unit_ix, embedding) with an encoder add the dense channel.
+    Rerankers, detectors, search and fetch providers and a text model are protocols; without them the built-in rules judge.
+    """
+
+    def __init__(self, units: DataFrame, *, shards: int = 1, learner: Learner | None = None, library: Library | None = None, search_provider: web.SearchProvider | None = None, fetch_provider: web.FetchProvider | None = None, trusted_domains: list[str] | None = None, cache_size: int = 128, cache_ttl: float = 90.0, build_id: str = "", index: retrieval.Index | None = None, vectors: DataFrame | None = None, encoder: docs.Encoder | None = None, reranker: postproc.Reranker | None = None, detector: postproc.Detector | None = None, model: postproc.TextModel | None = None, crawl_depth: int = 0, web_always: bool = False, fetch_options: dict | None = None):
+        if (vectors is None) != (encoder is None):
+            raise ValueError("vectors and an encoder go together")
+        self.units = units if index is not None and "shard_id" in units.columns else retrieval.with_shard(units, shards)
+        self.shards, self.learner, self.library, self.provider, self.fetcher = shards, learner, library, search_provider, fetch_provider
         self.trusted_domains, self.cache_size, self.cache_ttl, self.build_id = trusted_domains or [], cache_size, cache_ttl, build_id
+        self.index, self.vectors, self.encoder, self.reranker, self.detector, self.model = index, vectors, encoder, reranker, detector, model
+        self.crawl_depth, self.web_always, self.fetch_options = crawl_depth, web_always, fetch_options or {}
         self.cache: OrderedDict[tuple, tuple[float, Result]] = OrderedDict()
 
-    def search(self, query: str, k: int = 5, mode: str | None = None, *, aliases: bool = True, now: str | None = None) -> Result:
+    def search(self, query: str, k: int = 5, mode: str | None = None, *, aliases: bool = True, now: str | None = None, time_budget: float = 120.0) -> Result:
+        """time_budget in seconds: when it is used up only the first pass runs; under 45 % of it fewer candidates are looked at, and the rerank is left out where it would exceed it."""
+        began = time.time()
         profile = dsl.mode(mode)
         k = 1 if profile.name == "sniper" else max(k, profile.min_k) if profile.name != "investigation" else k
         key = (query, k, profile.name, aliases, now)
@@ -50,54 +62,130 @@ class Engine:
             self.cache.move_to_end(key)
             return Result(**{**asdict(hit[1]), "diagnostics": {**hit[1].diagnostics, "cache": "hit"}})
         parsed = dsl.parse_query(query)
-        passes = dsl.passes(parsed.clean, profile.name)
-        weights = self.learner.state.weights if self.learner else None
-        boosts = self.learner.state.boosts if self.learner else None
-        live = dsl.apply_filters(self.units, parsed.filters)
-        web_rows = self._web(parsed, passes, profile)
-        if web_rows is not None:
-            live = live.unionByName(dsl.apply_filters(retrieval.with_shard(web_rows, self.shards), parsed.filters), allowMissingColumns=True)
+        every = dsl.passes(parsed.clean, profile.name)
+        passes = every if time_budget > 0 else every[:1]
         prior = retrieval.quality_prior(min_ocr=profile.min_ocr, now=now if profile.recency else None)
-        terms = retrieval.query_terms(live.sparkSession, passes, aliases=aliases, boosts=boosts)
-        hits = retrieval.retrieve(live, terms, max(k, 2), weights=weights, prior=prior)
-        hits = hits.where(F.col("rank") <= max(k, 2))
-        folded = postproc.dedupe(hits, STAGES).join(live, ["unit_ix", "doc_id", "char_start", "char_end"])
-        ranked = postproc.rerank(folded, parsed.clean, profile.rerank_cap)
-        c = postproc.contradiction(parsed.clean, F.col("content"))
-        ranked = ranked.withColumn("c", c).withColumn("verdict", F.when(F.col("c.score") >= 0.55, F.col("c.label")).otherwise(F.col("verdict")))
+        filtered = parsed.filters != dsl.Filters()
+        live = dsl.apply_filters(self.units, parsed.filters) if filtered else self.units
+        ask = lambda rows, index, dense: self._hits(rows, parsed.clean, passes, max(k, 2), aliases, prior, index, dense, left() >= 0.45)
+        left = lambda: 1.0 if time_budget <= 0 else max(0.05, 1 - (time.time() - began) / time_budget)
+        rows = ask(live, None if filtered else self.index, self.encoder is not None)
+        about = {"used": False, "reason": "disabled" if self.provider is None else "enough_local_hits"}
+        found: DataFrame | None = None
+        if self.provider is not None and (self.web_always or len(rows) < k):
+            extra, about, found = self._web(parsed, passes, profile, ask)
+            rows += extra
+        needed = 0.015 * max(len(rows), 1)
+        skipped = "empty_candidates" if not rows else "time_budget_exceeded" if time_budget - (time.time() - began) <= needed + 0.01 else None
+        if not skipped:
+            rows.sort(key=_order)
+            top = rows[: profile.rerank_cap]
+            scores = self.reranker.score(parsed.clean, [r["content"] for r in top]) if self.reranker else [r["rerank"] for r in top]
+            for r, x in zip(top, scores):
+                r |= {"first_score": r["score"], "rerank": float(x), "score": 0.35 * r["score"] + 0.65 * float(x)}
+        if self.detector and rows:
+            for r, c in zip(rows, self.detector.predict(parsed.clean, [r["content"] for r in rows])):
+                r["c"] = c
+        for r in rows:
+            if r["c"]["score"] >= 0.55:
+                r["verdict"] = r["c"]["label"]
+            r["citation_id"] = f"{r['doc_id']}:{r['section_path'] or ''}:{r['char_start']}-{r['char_end']}"
         if profile.trusted_only:
-            ranked = postproc.trusted(ranked, self.trusted_domains, F.col("doc_id"))
-        ranked = ranked.withColumn("citation_id", F.concat(F.col("doc_id"), F.lit(":"), F.coalesce("section_path", F.lit("")), F.lit(":"), "char_start", F.lit("-"), "char_end"))
-        rows = [r.asDict(recursive=True) for r in ranked.orderBy(F.desc(F.round("score", 9)), "unit_ix").limit(max(k, 3)).collect()]
+            rows = [r for r in rows if r["source_type"] not in WEB_TYPES or any((h := urlparse(r["doc_id"]).netloc.lower()) == d or h.endswith("." + d) for d in self.trusted_domains)]
+        rows = sorted(rows, key=_order)[: max(k, 3)]
         best = rows[:1] if profile.name == "sniper" else rows
         supports, against = [r for r in best if r["verdict"] == SUPPORTS], [r for r in best if r["verdict"] == CONTRADICTS]
         answer = (supports or best)[0]["content"] if best else NO_EVIDENCE
+        if profile.name == "llm" and self.model and best:
+            answer = self._written(parsed.clean, best, answer)
         sources = list({r["citation_id"]: {x: r[x] for x in ("citation_id", "doc_id", "source_type", "section_path", "char_start", "char_end")} for r in best}.values())
         result = Result(format_answer(profile.name, answer, best, supports, against), best, against, sources, {
-            "mode": profile.name, "passes": [n for n, _ in passes], "filters": parsed.filters.as_dict(), "clean_query": parsed.clean, "cache": "miss", "build_id": self.build_id,
-            "entity_groups": entity_groups(best), "stages": {s: sum(r[s] or 0.0 for r in best) / len(best) for s in STAGES} if best else {},
+            "mode": profile.name, "passes": [n for n, _ in passes], "skipped_passes": [n for n, _ in every[len(passes):]], "filters": parsed.filters.as_dict(), "clean_query": parsed.clean, "cache": "miss", "build_id": self.build_id,
+            "entity_groups": entity_groups(best), "stages": {s: sum(r.get(s) or 0.0 for r in best) / len(best) for s in STAGES} if best else {},
+            "shards": {str(r["shard_id"]): r["shard_hits"] for r in rows}, "web": about, "rerank": {"skipped": bool(skipped), "reason": skipped or "applied", "budget_needed_sec": round(needed, 4)},
         })
+        report = osint_report(found, parsed.clean) if found is not None else None
+        if report:
+            result.diagnostics["osint"] = report
         if self.learner:
             self.learner.learn(parsed.clean, best)
         if self.library:
-            payload = json.loads(json.dumps(asdict(result), default=str))
-            result.diagnostics["session_id"] = self.library.save_session(mode=profile.name, raw_query=query, clean_query=parsed.clean, filters=parsed.filters.as_dict(), result=payload)
+            flat = json.loads(json.dumps(asdict(result), default=str))
+            sid = self.library.save_session(mode=profile.name, raw_query=query, clean_query=parsed.clean, filters=parsed.filters.as_dict(), result=flat, extra={"graph": report} if report else None)
+            result.diagnostics["session_id"] = sid
+            if report:
+                self.library.save_artifacts(sid, report)
+            web_rows = [json.loads(json.dumps(r, default=str)) for r in rows if r["source_type"] in WEB_TYPES]
+            if web_rows:
+                self.library.append_rows(web_rows, f"web_{sid}")
         self.cache[key] = (time.time(), result)
         while len(self.cache) > self.cache_size:
             self.cache.popitem(last=False)
         return result
 
-    def _web(self, parsed: dsl.Query, passes: list[tuple[str, str]], profile: dsl.Mode) -> DataFrame | None:
-        """Snippets of the provider's results for all passes, each url once."""
-        if self.provider is None or not parsed.filters.allows_web():
-            return None
-        rows = [(r["title"], r["url"], r["snippet"], r["rank"], n) for n, q in passes for r in self.provider.search(q, profile.web_max)]
+    def _hits(self, units: DataFrame, query: str, passes: list[tuple[str, str]], k: int, aliases: bool, prior, index, dense: bool, ample: bool) -> list[dict]:
+        """The k best rows of each pass over all shards, folded by span, with what the built-in reranker and detector say of them."""
+        weights = self.learner.state.weights if self.learner else None
+        boosts = self.learner.state.boosts if self.learner else None
+        dense_factor, candidate_factor = (6, 8) if ample else (4, 5)
+        near = None
+        if dense:
+            most = max(k * dense_factor, 12)
+            near = retrieval.dense_scores(self.vectors, self.encoder.encode([q for _, q in passes], query=True), most, "unit_ix")
+            w = Window.partitionBy("pass_ix").orderBy(F.desc(F.round("score", 9)), "unit_ix")
+            near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+        terms = retrieval.query_terms(units.sparkSession, passes, aliases=aliases, boosts=boosts)
+        hits = retrieval.retrieve(units, terms, k, dense=near, weights=weights, prior=prior, dense_factor=dense_factor, candidate_factor=candidate_factor, index=index)
+        # at most k rows a pass and shard are left; the passes' best over all shards are merged
+        hits = hits.withColumn("shard_hits", F.count("*").over(Window.partitionBy("shard_id")))
+        hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("pass_ix").orderBy(F.desc(F.round("score", 9)), "unit_ix"))).where(F.col("r") <= k)
+        kept = [c for c in (*UNIT.names, "shard_id", "shard_hits", "web_rank", "n_passes") if c in hits.columns and c not in ("unit_ix", "doc_id", "char_start", "char_end")]
+        folded = postproc.dedupe(hits, STAGES, kept)
+        out = folded.withColumn("rerank", postproc.rerank_score(query, F.col("content"))).withColumn("c", postproc.contradiction(query, F.col("content")))
+        return [r.asDict(recursive=True) for r in out.collect()]
+
+    def _web(self, parsed: dsl.Query, passes: list[tuple[str, str]], profile: dsl.Mode, ask) -> tuple[list[dict], dict, DataFrame | None]:
+        """(rows, what happened, results): evidence of the provider's results and of their pages, weighed by rank and number of passes; where no channel scores any, by rank alone."""
+        if not parsed.filters.allows_web():
+            return [], {"used": False, "reason": "filtered_out_by_query_dsl"}, None
+        spark, rows, failed = self.units.sparkSession, [], 0
+        for name, q in passes:
+            try:
+                rows += [(r.get("title"), r["url"], r.get("snippet"), r.get("rank", r.get("web_rank")), r.get("provider", ""), name) for r in self.provider.search(q, profile.web_max)]
+            except Exception:  # noqa: BLE001 - a failing provider must not fail the search
+                failed += 1
         if not rows:
-            return None
-        spark = self.units.sparkSession
-        found = spark.createDataFrame(rows, "title string, url string, snippet string, web_rank int, pass string").withColumn("result_id", -F.abs(F.xxhash64("url")))
-        one = found.groupBy("url").agg(F.min_by("title", "web_rank").alias("title"), F.min_by("snippet", "web_rank").alias("snippet"), F.min("web_rank").alias("web_rank"), F.min("result_id").alias("result_id"))
-        return web.snippet_units(one)
+            return [], {"used": False, "reason": "error" if failed else "no_results"}, None
+        found = spark.createDataFrame(rows, "title string, url string, snippet string, web_rank int, provider string, pass string").withColumn("result_id", -F.abs(F.xxhash64("url")))
+        rank = F.coalesce("web_rank", F.lit(999))
+        one = found.groupBy("url").agg(*[F.min_by(c, F.struct(rank, "title", "snippet")).alias(c) for c in ("title", "snippet", "result_id")], F.min(rank).alias("web_rank"), F.array_sort(F.collect_set("pass")).alias("passes"))
+        one = one.withColumn("n_passes", F.size("passes")).orderBy("web_rank", "url").limit(profile.web_max * len(passes))
+        units = web.snippet_units(one).join(one.select(F.col("url").alias("doc_id"), "web_rank", "n_passes"), "doc_id")
+        if self.fetcher is not None and profile.fetch_pages:
+            seeds = one.orderBy("web_rank", "url").limit(profile.fetch_pages).coalesce(1).select(F.monotonically_increasing_id().alias("pos"), "url")
+            pages = web.crawl(seeds, self.fetcher, depth=self.crawl_depth, max_pages=profile.fetch_pages, **self.fetch_options)
+            units = units.unionByName(web.page_units(web.with_result(pages, one)), allowMissingColumns=True)
+        units = dsl.apply_filters(retrieval.with_shard(units, self.shards), parsed.filters)
+        hits = ask(units, None, False)
+        for r in hits:
+            r["web_rank_prior"] = max(0.55, 1 - 0.05 * ((r["web_rank"] or 999) - 1)) * (1 + min(0.18, 0.06 * (max(r["n_passes"] or 1, 1) - 1)))
+            r["score"] *= r["web_rank_prior"]
+        if not hits:
+            c = postproc.contradiction(parsed.clean, F.col("content"))
+            plain = units.withColumn("score", postproc.web_fallback(profile.web_base, F.col("web_rank"))).withColumns({"verdict": F.lit("uncertain"), "c": c, "rerank": postproc.rerank_score(parsed.clean, F.col("content")), "shard_hits": F.lit(0)})
+            hits = [r.asDict(recursive=True) | {"why": "web_fallback"} for r in plain.orderBy(F.desc("score"), "unit_ix").limit(profile.web_max * len(passes)).collect()]
+        return hits, {"used": True, "reason": "applied" if hits else "no_results", "failed_passes": failed, "results": len({r[1] for r in rows}), "candidates": len(hits)}, one
+
+    def _written(self, query: str, best: list[dict], plain: str) -> str:
+        """The text model's answer from the evidence; the plain one where it fails or says nothing."""
+        lines = "\n".join(f"[{i}] {r['content']}" for i, r in enumerate(best[:8], 1))
+        try:
+            return self.model.generate(f"Answer the query from the evidence only and cite its numbers.\nQuery: {query}\nEvidence:\n{lines}").strip() or plain
+        except Exception:  # noqa: BLE001 - whatever a model's client raises
+            return plain
+
+    def learning_snapshot(self) -> dict | None:
+        return asdict(self.learner.state) if self.learner else None
 
     def clear_cache(self) -> None:
         self.cache.clear()
@@ -110,6 +198,10 @@ class Engine:
             self.library.delete_all()
 
 
+def _order(r: dict) -> tuple:
+    return (-round(r["score"], 9), r["unit_ix"])
+
+
 def entity_groups(rows: list[dict]) -> dict[str, dict]:
     out: dict[str, dict] = {}
     for r in rows:

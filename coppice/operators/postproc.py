@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +12,54 @@ from ..functions.text import tokens, tokens_py
 from .retrieval import CONTRADICTION_HINTS, SUPPORT_HINTS, any_hint
 
 
-def dedupe(scored: DataFrame, stages: list[str]) -> DataFrame:
-    """One row per span (doc_id, char_start, char_end): the highest score wins, the later pass on ties; each stage is the last pass's that has it."""
+class Reranker(Protocol):
+    def score(self, query: str, contents: list[str]) -> list[float]: ...
+
+
+class Detector(Protocol):
+    def predict(self, query: str, contents: list[str]) -> list[dict]:
+        """{label, score, rationale} of each text, label one of supports, contradicts, uncertain."""
+
+
+class TextModel(Protocol):
+    def generate(self, prompt: str) -> str: ...
+
+
+def parse_score(answer: str) -> float:
+    """The number a text model answered: the whole answer or its first number that begins with 0 or 1, from 0 to 1; 0 where there is none."""
+    try:
+        value = float(answer.strip())
+    except ValueError:
+        m = re.search(r"(?<![0-9.])[01](?:\.[0-9]+)?", answer)
+        value = float(m.group()) if m else 0.0
+    return min(max(value, 0.0), 1.0) if value == value else 0.0
+
+
+class ModelReranker:
+    """Reranker that asks a text model for a number from 0 to 1; a failing model gives 0."""
+
+    def __init__(self, model: TextModel):
+        self.model = model
+
+    def score(self, query: str, contents: list[str]) -> list[float]:
+        def ask(text: str) -> float:
+            try:
+                return parse_score(self.model.generate(f"How relevant is the text to the query, from 0 to 1? Answer with a number.\nQuery: {query}\nText: {text}"))
+            except Exception:  # noqa: BLE001 - whatever a model's client raises
+                return 0.0
+
+        return [ask(c) for c in contents]
+
+
+def dedupe(scored: DataFrame, stages: list[str], keep: list[str] | None = None) -> DataFrame:
+    """One row per span (doc_id, char_start, char_end): the highest score wins, the later pass on ties; each stage is the last pass's that has it.
+
+    keep: further columns of the winning row.
+    """
     order = F.struct(F.round("score", 9), "pass_ix")
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pass_ix"))).alias(c) for c in stages]
     why = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("pass_ix", "pass_name"))), lambda x: x["pass_name"]), " + ").alias("why")
-    return scored.groupBy("doc_id", "char_start", "char_end").agg(F.max("score").alias("score"), F.max_by("unit_ix", order).alias("unit_ix"), F.max_by("verdict", order).alias("verdict"), why, *last)
+    return scored.groupBy("doc_id", "char_start", "char_end").agg(F.max("score").alias("score"), F.max_by("unit_ix", order).alias("unit_ix"), F.max_by("verdict", order).alias("verdict"), why, *last, *[F.max_by(F.struct(c), order)[c].alias(c) for c in keep or ()])
 
 
 def overlap(query: str, content: Column) -> Column:
@@ -66,6 +111,12 @@ def web_prior(rank: Column, passes: Column) -> Column:
     return F.greatest(F.lit(0.55), 1 - 0.05 * (r - 1)) * (1 + F.least(F.lit(0.18), 0.06 * (passes - 1)))
 
 
+def web_fallback(base: float, rank: Column) -> Column:
+    """Score of a web result that no channel scored: the mode's base, less for each later rank, never negative."""
+    r = F.when(F.coalesce(rank, F.lit(0)) == 0, 999).otherwise(rank)
+    return F.greatest(F.lit(0.0), F.lit(min(max(base, 0.0), 1.0)) - 0.06 * (r - 1))
+
+
 def url_dedupe(results: DataFrame, most: int | None = None) -> DataFrame:
     """One row per url: the lowest rank (then lowest id), and how many providers found it."""
     order = F.struct(F.coalesce("web_rank", F.lit(999)), "result_id")

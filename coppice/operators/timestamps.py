@@ -25,6 +25,8 @@ ABBREVIATIONS = {
     "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "AKST": -540, "AKDT": -480, "HST": -600, "EST": -300, "EDT": -240,
     "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
 }
+# zones that are tried by default, offsets all over the day; of zones with one and the same offsets the first stands for all
+CANDIDATES = ["UTC", "Asia/Seoul", "Asia/Kolkata", "Europe/London", "Europe/Berlin", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "Australia/Sydney", "Europe/Athens", "Europe/Moscow", "Asia/Dubai", "Asia/Shanghai", "Asia/Bangkok", "America/Sao_Paulo", "Pacific/Auckland", "Asia/Tokyo"]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
@@ -140,11 +142,12 @@ def resolve(df: DataFrame, local: str, zone: str, received_us: str, to: str) ->
     return settled(df, kept, **{to: F.when(twice, F.when(fits("__late"), F.col("__late")).when(fits("__early"), F.col("__early"))).otherwise(F.coalesce("__late", "__early"))})
 
 
-def estimate_zones(local_rows: DataFrame, key: str, candidates: list[str], slack_minutes: int = 90) -> DataFrame:
+def estimate_zones(local_rows: DataFrame, key: str, candidates: list[str], slack_minutes: int = 90, most_bad: float = 0.8) -> DataFrame:
     """(key, estimated_zone, violations, n): the candidate zone that aligns a key's local times best with ingestion.
 
     local_rows: key, __local_us, received_us. A violation is an instant after its ingestion, more than slack_minutes
-    before it, or a local time that never occurs. Ties go to the first candidate. One shuffle of keys x candidates rows.
+    before it, or a local time that never occurs. Ties go to the zone with the least time to ingestion, then to the first candidate.
+    The zone is null where more than most_bad of the rows violate even the best one: none of the candidates is it. One shuffle of keys x candidates rows.
     Empty input or no candidates: no rows; keys that are null are left out.
     """
     zones = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(z).alias("zone")) for i, z in enumerate(candidates)]) if candidates else F.expr("cast(array() as array<struct<rank:int,zone:string>>)")
@@ -152,9 +155,9 @@ def estimate_zones(local_rows: DataFrame, key: str, candidates: list[str], slack
     tried = resolve(tried.withColumn("__zone", F.col("z.zone")), "__local_us", "__zone", "received_us", "__at")
     lag = F.col("received_us") - F.col("__at")
     bad = F.when(lag.between(0, slack_minutes * 60_000_000), 0).otherwise(1)
-    per = tried.groupBy(key, "z.rank", "z.zone").agg(F.sum(bad).alias("violations"), F.count("*").alias("n"))
-    best = F.min(F.struct("violations", "rank", "zone", "n")).alias("b")
-    return per.groupBy(key).agg(best).select(key, F.col("b.zone").alias("estimated_zone"), F.col("b.violations").alias("violations"), F.col("b.n").alias("n"))
+    per = tried.groupBy(key, "z.rank", "z.zone").agg(F.sum(bad).alias("violations"), F.coalesce(F.sum(F.when(bad == 0, lag)), F.lit(0)).alias("lag"), F.count("*").alias("n"))
+    best = F.min(F.struct("violations", "lag", "rank", "zone", "n")).alias("b")
+    return per.groupBy(key).agg(best).select(key, F.when(F.col("b.violations") <= most_bad * F.col("b.n"), F.col("b.zone")).alias("estimated_zone"), F.col("b.violations").alias("violations"), F.col("b.n").alias("n"))
 
 
 def normalise_timestamps(df: DataFrame, collectors: DataFrame, *, text: str, collector: str = "collector_id", received: str = "received_at", candidates: list[str] | None = None) -> DataFrame:
@@ -171,7 +174,7 @@ def normalise_timestamps(df: DataFrame, collectors: DataFrame, *, text: str, col
     rows = rows.withColumn("__recv_us", F.unix_micros(F.col(received)))
     rows = parse(rows, text, F.col("__order"), keep=("__cid", "__tz", "__recv_us"))
     if candidates is None:
-        candidates = ["UTC", "Asia/Seoul", "Asia/Tokyo", "Asia/Kolkata", "Europe/London", "Europe/Berlin", "America/New_York", "America/Chicago", "America/Los_Angeles", "Australia/Sydney"]
+        candidates = CANDIDATES
     open_rows = rows.where(F.col("__local_us").isNotNull() & F.col("__offset_us").isNull() & F.col("__cid").isNotNull() & F.col("__tz").isNull())
     est = estimate_zones(open_rows.select("__cid", "__local_us", F.col("__recv_us").alias("received_us")), "__cid", candidates)
     rows = rows.join(est.select(F.col("__cid").alias("__eid"), "estimated_zone"), F.col("__cid") == F.col("__eid"), "left")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import highlight as mark
 from ..functions import text
 from ..operators import osint, postproc, retrieval, timestamps
-from ..runtime import table
+from ..runtime import shared_folder, table
 from ..schema import citation_id
 from ..sources import documents as docs
 from ..sources import web
+from ..sources.library import listing
 from . import dsl
 from .learning import Learner
 
@@ -19,10 +21,12 @@ NOW = "2025-07-01 00:00:00+00:00"
 STAGES = ["bm25", "lexical", "rrf", "quality_prior"]
 
 
-def units(spark: SparkSession, d: str, shards: int = 1) -> DataFrame:
-    """The evidence table as units; copies of a row count once."""
-    rows = table(spark, d, "evidence_units").dropDuplicates(["unit_id"]).where(F.col("content").isNotNull())
-    return retrieval.with_shard(rows.withColumnsRenamed({"unit_id": "unit_ix", "timestamp_text": "timestamp"}).drop("collector_id", "received_at"), shards)
+def units(spark: SparkSession, d: str, shards: int = 1, filters: str = "") -> DataFrame:
+    """The evidence table as units; copies of a row count once. Filters of a query go below the removal of copies, to the scan."""
+    rows = table(spark, d, "evidence_units").where(F.col("content").isNotNull()).withColumnsRenamed({"unit_id": "unit_ix", "timestamp_text": "timestamp"}).drop("collector_id", "received_at")
+    if filters:
+        rows = dsl.apply_filters(rows, dsl.parse_query(filters).filters)
+    return retrieval.with_shard(rows.distinct(), shards)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,11 +38,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_zones(spark: SparkSession, d: str) -> DataFrame:
-    """Zones estimated for all collectors as if none were declared."""
-    rows = table(spark, d, "evidence_units").select("collector_id", F.col("timestamp_text").alias("written"), "received_at").withColumn("__recv_us", F.unix_micros("received_at"))
-    local = timestamps.parse(rows, "written", F.lit(None).cast("string"), keep=("__recv_us",)).where(F.col("__local_us").isNotNull() & F.col("__offset_us").isNull())
-    zones = ["UTC", "Asia/Seoul", "Asia/Kolkata", "Europe/London", "Europe/Berlin", "America/New_York", "America/Los_Angeles", "Australia/Sydney"]
-    return timestamps.estimate_zones(local.select("collector_id", "__local_us", F.col("__recv_us").alias("received_us")), "collector_id", zones)
+    """Zones estimated for all collectors as if none were declared, from all local times of both tables; the date orders are known."""
+    rows = table(spark, d, "evidence_units").select("collector_id", F.col("timestamp_text").alias("written"), "received_at").unionByName(table(spark, d, "library_sessions").select("collector_id", F.col("created_at").alias("written"), "received_at"))
+    dim = table(spark, d, "collectors")
+    named = sorted(r.time_zone for r in dim.select("time_zone").distinct().collect() if r.time_zone)  # a dimension table
+    rows = rows.join(dim.select("collector_id", "date_order"), "collector_id").withColumn("__recv_us", F.unix_micros("received_at"))
+    local = timestamps.parse(rows, "written", F.col("date_order"), keep=("__recv_us",)).where(F.col("__local_us").isNotNull() & F.col("__offset_us").isNull())
+    zones = [*timestamps.CANDIDATES, *(z for z in named if z not in timestamps.CANDIDATES)]
+    return timestamps.estimate_zones(local.select("collector_id", "__local_us", F.col("__recv_us").alias("received_us")), "collector_id", zones).select("collector_id", "estimated_zone")
 
 
 # ---- texts and corpus
@@ -64,13 +71,8 @@ def corpus_stats(spark, d):
     return retrieval.corpus_stats(units(spark, d, 4)).select("shard_id", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def char_ngrams_all(spark, d):
-    return units(spark, d).select("unit_ix", F.array_join(text.tokens(F.col("content")), " ").alias("tokens"))
-
-
 def char_ngrams(spark, d):
-    """Captions only, as in its SQL; char_ngrams_all has all units."""
-    return units(spark, d).where(F.col("source_type") == "caption").select("unit_ix", F.array_join(text.tokens(F.col("content")), " ").alias("tokens"))
+    return units(spark, d).select("unit_ix", F.array_join(text.tokens(F.col("content")), " ").alias("tokens"))
 
 
 def shard_assign(spark, d):
@@ -89,13 +91,30 @@ def short_hash(spark, d):
 
 
 def _bm25(spark, d, shards=1, boosts=None, filters=""):
-    u = units(spark, d, shards)
-    if filters:
-        u = dsl.apply_filters(u, dsl.parse_query(filters).filters)
+    u = units(spark, d, shards, filters)
     top = retrieval.bm25_topk(u, retrieval.query_terms(spark, [("pass_a_support", Q)], boosts=boosts), 10)
     return top.select("shard_id", "rank", "unit_ix", F.round("score", 6).alias("score"))
 
 
+def _indexed(spark, d):
+    """The units and their saved index, written to the shared folder and read again."""
+    out = shared_folder(spark)
+    u = units(spark, d)
+    docs.save_index(u, out)
+    return u, docs.load_index(spark, out)
+
+
+def bm25_topk_indexed(spark, d):
+    u, index = _indexed(spark, d)
+    top = retrieval.bm25_topk(u, retrieval.query_terms(spark, [("pass_a_support", Q)]), 10, index)
+    return top.select("shard_id", "rank", "unit_ix", F.round("score", 6).alias("score"))
+
+
+def hybrid_indexed(spark, d):
+    u, index = _indexed(spark, d)
+    return _hybrid_columns(retrieval.retrieve(u, retrieval.query_terms(spark, [("pass_a_support", Q)]), 10, index=index))
+
+
 def lexical_overlap(spark, d):
     s = retrieval.term_scores(units(spark, d), retrieval.query_terms(spark, [("pass_a_support", Q)]))
     return s.select("unit_ix", F.round("lexical", 6).alias("lexical"))
@@ -111,8 +130,12 @@ def _hybrid(spark, d, passes=None, k=10, shards=1, aliases=False, query=Q):
     return retrieval.retrieve(units(spark, d, shards), retrieval.query_terms(spark, passes or [("pass_a_support", query)], aliases=aliases), k)
 
 
+def _hybrid_columns(rows):
+    return rows.select("rank", "unit_ix", *[F.round(c, 6).alias(c) for c in ("score", "bm25", "lexical", "bm25_norm", "lexical_norm", "rrf", "quality_prior")], "verdict", "citation_id")
+
+
 def hybrid_retrieve(spark, d):
-    return _hybrid(spark, d).select("rank", "unit_ix", *[F.round(c, 6).alias(c) for c in ("score", "bm25", "lexical", "bm25_norm", "lexical_norm", "rrf", "quality_prior")], "verdict", "citation_id")
+    return _hybrid_columns(_hybrid(spark, d))
 
 
 def hybrid_aliases(spark, d):
@@ -142,7 +165,7 @@ def recency_boost(spark, d):
 
 
 def _filtered(query):
-    return lambda spark, d: dsl.apply_filters(units(spark, d), dsl.parse_query(query).filters).select("unit_ix")
+    return lambda spark, d: units(spark, d, 1, query).select("unit_ix")
 
 
 # ---- after retrieval
@@ -152,6 +175,11 @@ def rerank_overlap(spark, d):
     return units(spark, d).select("unit_ix", F.round(postproc.rerank_score(Q, F.col("content")), 6).alias("rerank"))
 
 
+def rerank_blend(spark, d):
+    """The ten best of thirty hits reranked, the others as they are."""
+    return postproc.rerank(_hybrid(spark, d, k=30), Q, 10).select("unit_ix", F.round("score", 6).alias("score"))
+
+
 def verdict_classify(spark, d):
     return units(spark, d).select("unit_ix", retrieval.verdict(F.lit("pass_a_support"), F.col("content")).alias("verdict"))
 
@@ -186,13 +214,34 @@ def ir_metrics(spark, d):
 
 
 def _results(spark, d):
-    return table(spark, d, "web_search_results").dropDuplicates(["result_id"])
+    return table(spark, d, "web_search_results").distinct()
 
 
 def web_rank_prior(spark, d):
     return _results(spark, d).select("result_id", F.round(postproc.web_prior(F.col("web_rank"), F.lit(3)), 6).alias("prior"))
 
 
+def web_fallback(spark, d):
+    return _results(spark, d).select("result_id", F.round(postproc.web_fallback(0.65, F.col("web_rank")), 6).alias("score"))
+
+
+def crawl_frontier(spark, d):
+    """Links of all pages that are no page's address."""
+    p = table(spark, d, "web_fetched_pages")
+    return web.frontier(p, p.select("url").unionByName(p.select(F.col("final_url").alias("url"))).where(F.col("url").isNotNull()))
+
+
+def page_chunks(spark, d):
+    p = table(spark, d, "web_fetched_pages").where(F.col("text").isNotNull()).select("page_id", "text").distinct()
+    return web.page_chunks(p, "page_id").select("page_id", "chunk_no", "char_start", "char_end")
+
+
+def web_page_units(spark, d):
+    """Chunks of all readable pages as units."""
+    p = table(spark, d, "web_fetched_pages").distinct().withColumn("pos", F.col("page_id"))
+    return web.page_units(p).select("unit_ix", "doc_id", "content", "char_start", "char_end")
+
+
 def url_dedupe(spark, d):
     return postproc.url_dedupe(_results(spark, d)).select("url", "result_id", "web_rank", "n_providers")
 
@@ -215,8 +264,8 @@ def trusted_filter(spark, d):
 
 
 def session_list(spark, d):
-    s = table(spark, d, "library_sessions").dropDuplicates(["session_id"])
-    return s.where((F.col("search_mode") == "sniper") & F.contains(F.lower("raw_query"), F.lit("doc:"))).select("session_id", "created_at", "raw_query")
+    s = table(spark, d, "library_sessions").distinct().withColumnRenamed("search_mode", "mode")
+    return listing(s, mode="sniper", contains="doc:").select("session_id", "created_at", "raw_query")
 
 
 def incremental_reuse(spark, d):
@@ -235,58 +284,31 @@ def rrf_fusion(spark, d):
     return _hybrid(spark, d, k=30).select("unit_ix", F.round("rrf", 8).alias("rrf"))
 
 
-def _marked(rows):
-    words = sorted({w for w in text.tokens_py(Q, grams=False) if len(w) >= 2}, key=lambda w: (-len(w), w))
-    c = F.col("content")
-    for w in words:
-        c = F.regexp_replace(c, f"(?i){w}", "[[$0]]")
-    return rows.select("unit_ix", c.alias("marked"))
-
-
-def highlight_all(spark, d):
-    return _marked(units(spark, d))
+def highlight(spark, d):
+    """The facade's highlighting over all units."""
 
+    def run(batches):
+        for b in batches:
+            yield b.assign(marked=[mark(t, Q) for t in b.pop("content")])
 
-def highlight(spark, d):
-    """Captions only, as in its SQL; highlight_all has all units."""
-    return _marked(units(spark, d).where(F.col("source_type") == "caption"))
+    return units(spark, d).select("unit_ix", "content").mapInPandas(run, "unit_ix bigint, marked string")
 
 
-def _as_html(spark, d, titled=False):
-    """Fetched pages written as HTML again, a null title as an empty one; titled: without the pages of null title."""
+def _as_html(spark, d):
+    """Fetched pages written as HTML again, a null title as an empty one."""
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    rows = table(spark, d, "web_fetched_pages").dropDuplicates(["page_id"]).where(F.col("text").isNotNull())
-    if titled:
-        rows = rows.where(F.col("title").isNotNull())
+    rows = table(spark, d, "web_fetched_pages").distinct().where(F.col("text").isNotNull())
     links = F.array_join(F.transform("discovered_links", lambda u: F.concat(F.lit("<a href='"), u, F.lit("'>x</a>"))), " ")
     body = F.concat(F.lit("<html><head><title> "), F.coalesce(esc(F.col("title")), F.lit("")), F.lit(" </title><script>var a = '</p>';</script></head><body><p>"), F.regexp_replace(esc(F.col("text")), "\n", "<br>"), F.lit("</p>"), F.coalesce(links, F.lit("")), F.lit("</body></html>"))
     return rows.select("page_id", F.col("final_url").alias("url"), body.alias("html"))
 
 
-def _titles(pages):
-    return web.parse_pages(pages).select("page_id", "title")
-
-
-def _links(pages):
-    return web.parse_pages(pages).select("page_id", F.explode("discovered_links").alias("link"))
-
-
-def html_title_all(spark, d):
-    return _titles(_as_html(spark, d))
-
-
 def html_title(spark, d):
-    """Pages with a title only, as in its SQL; html_title_all has all pages."""
-    return _titles(_as_html(spark, d, titled=True))
-
-
-def html_links_all(spark, d):
-    return _links(_as_html(spark, d))
+    return web.parse_pages(_as_html(spark, d)).select("page_id", "title")
 
 
 def html_links(spark, d):
-    """Pages with a title only, as in its SQL; html_links_all has all pages."""
-    return _links(_as_html(spark, d, titled=True))
+    return web.parse_pages(_as_html(spark, d)).select("page_id", F.explode("discovered_links").alias("link"))
 
 
 def html_text(spark, d):
@@ -306,7 +328,7 @@ def alias_expand(spark, d):
             rows = [(s, i, t, p) for s, q in zip(b.session_id, b.clean_query) for i, (t, p) in enumerate(dsl.expansions(q))]
             yield pd.DataFrame(rows, columns=["session_id", "exp_ix", "expansion", "penalty"])
 
-    s = table(spark, d, "library_sessions").dropDuplicates(["session_id"]).where(F.trim("clean_query") != "")
+    s = table(spark, d, "library_sessions").distinct().where(F.trim("clean_query") != "")
     return s.select("session_id", "clean_query").mapInPandas(run, "session_id string, exp_ix int, expansion string, penalty double")
 
 
@@ -319,7 +341,7 @@ def learning_fold(spark, d):
 
 def mode_passes(spark, d):
     """The passes for the clean queries of all sessions, each in its session's mode; unknown modes and null are investigation, as in dsl.mode."""
-    s = table(spark, d, "library_sessions").dropDuplicates(["session_id"]).where(F.col("clean_query").isNotNull())
+    s = table(spark, d, "library_sessions").distinct().where(F.col("clean_query").isNotNull())
     names = spark.createDataFrame([(m, n, w.get("en", ""), w.get("mixed", w["ko"]), w["ko"]) for m in dsl.MODES for n, w in [("pass_a_support", {"en": "", "ko": ""}), *((k, dsl.PASS_WORDS[k]) for k, _ in dsl.passes("x", m)[1:])]], "mode string, pass string, en string, mixed string, ko string")
     lang = text.language(F.col("clean_query"))
     words = F.when(lang == "en", F.col("en")).when((lang == "mixed"), F.col("mixed")).otherwise(F.col("ko"))
@@ -332,7 +354,7 @@ def mode_passes(spark, d):
 QUERIES = {
     "minmax_norm": minmax_norm, "rrf_fusion": rrf_fusion, "highlight": highlight, "html_title": html_title, "html_links": html_links, "html_text": html_text, "snippet_units": snippet_units,
     "alias_expand": alias_expand, "learning_fold": learning_fold, "mode_passes": mode_passes,
-    "char_ngrams_all": char_ngrams_all, "highlight_all": highlight_all, "html_title_all": html_title_all, "html_links_all": html_links_all,
+    "bm25_topk_indexed": bm25_topk_indexed, "hybrid_indexed": hybrid_indexed, "rerank_blend": rerank_blend, "web_fallback": web_fallback, "crawl_frontier": crawl_frontier, "page_chunks": page_chunks, "web_page_units": web_page_units,
     "p3_found": p3_found, "p3_zones": p3_zones, "units_sentences": units_sentences, "lang_detect": lang_detect, "tokens_tf": tokens_tf, "term_df": term_df, "corpus_stats": corpus_stats,
     "char_ngrams": char_ngrams, "shard_assign": shard_assign, "masked_entity": masked_entity, "short_hash": short_hash,
     "bm25_topk": _bm25, "bm25_topk_sharded": lambda s, d: _bm25(s, d, 4), "bm25_boosted": lambda s, d: _bm25(s, d, boosts={"vaccine": 0.8, "review": 5.0}),
@@ -366,23 +388,24 @@ def _tok(src: str = "u", n: int = 1) -> str:
     return _TOK.replace("{src}", src).replace("{shard}", _SHARD.format(n=n))
 
 
-def _terms(passes: list[tuple[str, str]], boosts: dict | None = None) -> str:
+def _terms(passes: list[tuple[str, str]], boosts: dict | None = None, aliases: bool = False) -> str:
     from collections import Counter
 
     w = lambda t: 1.0 + max(0.0, min(float((boosts or {}).get(t, 0.0)), 2.0))
     rows = []
     for p, (name, q) in enumerate(passes):
-        c = Counter(text.tokens_py(q))
-        rows += [f"({p}, '{name}', '{t}', {n}, {w(t)}::double, {sum(map(w, c))}::double)" for t, n in c.items()]
-    return f"q(pass_ix, pass_name, term, mult, w, qw) as (values {', '.join(rows)})"
+        for e, (alias, penalty) in enumerate(dsl.expansions(q) if aliases else [(q, 0.0)]):
+            c = Counter(text.tokens_py(alias))
+            rows += [f"({p}, '{name}', {e}, {penalty!r}::double, '{t}', {n}, {w(t)}::double, {sum(map(w, c))}::double)" for t, n in c.items()]
+    return f"q(pass_ix, pass_name, ex, pen, term, mult, w, qw) as (values {', '.join(rows)})"
 
 
-def _scores(passes: list[tuple[str, str]] | None = None, src: str = "u", n: int = 1, boosts: dict | None = None) -> str:
-    return f"""{_tok(src, n)}, {_terms(passes or [("pass_a_support", Q)], boosts)},
+def _scores(passes: list[tuple[str, str]] | None = None, src: str = "u", n: int = 1, boosts: dict | None = None, aliases: bool = False) -> str:
+    return f"""{_tok(src, n)}, {_terms(passes or [("pass_a_support", Q)], boosts, aliases)},
 st as (select shard_id, count(*) as n, avg(len(ts)) as avgdl from t group by 1),
 tf as (select shard_id, unit_ix, len(ts) as dl, term, count(*) as tf from (select shard_id, unit_ix, ts, unnest(ts) as term from t) group by all),
 dfs as (select shard_id, term, count(*) as df from tf group by all),
-sc as (select pass_ix, pass_name, shard_id, unit_ix, sum(mult * w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as bm25, sum(w) / min(qw) as lexical
+sc as (select pass_ix, pass_name, ex, pen, shard_id, unit_ix, sum(mult * w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as bm25, sum(w) / min(qw) as lexical
   from tf join dfs using (shard_id, term) join st using (shard_id) join q using (term) group by all)"""
 
 
@@ -398,15 +421,20 @@ _VERDICT = f"case when pass_name = 'pass_b_contradict' or {_ANY(retrieval.CONTRA
 _CITE = "doc_id || ':' || coalesce(section_path, '') || ':' || char_start || '-' || char_end"
 
 
-def _hybrid_sql(passes: list[tuple[str, str]] | None = None, k: int = 10) -> str:
+def _hybrid_sql(passes: list[tuple[str, str]] | None = None, k: int = 10, aliases: bool = False, dense: str = "select null::bigint as unit_ix, null::double as dense where false") -> str:
     cut, limit = max(6 * k, 12), max(8 * k, 20)
-    return f"""{_scores(passes)},
-b as (select pass_ix, pass_name, shard_id, unit_ix, lexical, case when row_number() over (partition by pass_ix, shard_id order by round(bm25, 9) desc, unit_ix) <= {cut} then bm25 end as bm25 from sc),
-m as (select *, min(bm25) over p as blo, max(bm25) over p as bhi, min(lexical) over p as llo, max(lexical) over p as lhi, case when bm25 is not null then row_number() over (partition by pass_ix, shard_id order by round(bm25, 9) desc nulls last, unit_ix) end as br,
-  row_number() over (partition by pass_ix, shard_id order by round(lexical, 9) desc, unit_ix) as lr from b window p as (partition by pass_ix, shard_id)),
-c as (select *, case when bm25 is not null then case when bhi = blo then (bhi > 0)::int::double else (bm25 - blo) / (bhi - blo) end end as bn, case when lhi = llo then (lhi > 0)::int::double else (lexical - llo) / (lhi - llo) end as ln,
-  coalesce(1.0::double / (60 + br), 0) + 1.0::double / (60 + lr) as rrf from m where br <= {limit} or lr <= {limit}),
-f as (select c.*, u.doc_id, u.char_start, u.char_end, {_PRIOR} as quality_prior, (0.42 * coalesce(bn, 0) + 0.15 * ln + 0.10 * rrf) * {_PRIOR} as score, {_VERDICT} as verdict, {_CITE} as citation_id from c join u using (unit_ix)),
+    rank = lambda c: f"case when {c} is not null then row_number() over (partition by pass_ix, shard_id order by round({c}, 9) desc nulls last, unit_ix) end"
+    norm = lambda c, lo, hi: f"case when {c} is not null then case when {hi} = {lo} then ({hi} > 0)::int::double else ({c} - {lo}) / ({hi} - {lo}) end end"
+    return f"""{_scores(passes, aliases=aliases)}, dn as ({dense}),
+b0 as (select *, row_number() over (partition by pass_ix, ex, shard_id order by round(bm25, 9) desc, unit_ix) as r from sc),
+b1 as (select pass_ix, pass_name, shard_id, unit_ix, max(lexical * (1 - pen)) as lexical, max(case when r <= {cut} then bm25 * (1 - pen) end) as bm25 from b0 group by all),
+pn as (select distinct pass_ix, pass_name from q), d1 as (select pass_ix, pass_name, 0 as shard_id, unit_ix, dense from dn join u using (unit_ix), pn),
+b as (select * from b1 full join d1 using (pass_ix, pass_name, shard_id, unit_ix)),
+m as (select *, min(bm25) over p as blo, max(bm25) over p as bhi, min(lexical) over p as llo, max(lexical) over p as lhi, min(dense) over p as dlo, max(dense) over p as dhi, {rank('bm25')} as br, {rank('lexical')} as lr, {rank('dense')} as dr
+  from b window p as (partition by pass_ix, shard_id)),
+c as (select *, {norm('bm25', 'blo', 'bhi')} as bn, {norm('lexical', 'llo', 'lhi')} as ln, {norm('dense', 'dlo', 'dhi')} as den, coalesce(1.0::double / (60 + br), 0) + coalesce(1.0::double / (60 + lr), 0) + coalesce(1.0::double / (60 + dr), 0) as rrf
+  from m where br <= {limit} or lr <= {limit} or dr <= {limit}),
+f as (select c.*, u.doc_id, u.char_start, u.char_end, {_PRIOR} as quality_prior, (0.42 * coalesce(bn, 0) + 0.33 * coalesce(den, 0) + 0.15 * coalesce(ln, 0) + 0.10 * rrf) * {_PRIOR} as score, {_VERDICT} as verdict, {_CITE} as citation_id from c join u using (unit_ix)),
 h as (select *, row_number() over (partition by pass_ix, shard_id order by round(score, 9) desc, unit_ix) as rank from f where score > 0)"""
 
 
@@ -423,14 +451,40 @@ _BM25_FILTER = f", v as (select * from u where source_type <> 'ocr_text' and coa
 _MARK = "content"
 for _w in sorted({w for w in text.tokens_py(Q, grams=False) if len(w) >= 2}, key=lambda w: (-len(w), w)):
     _MARK = rf"regexp_replace({_MARK}, '(?i){_w}', '[[\0]]', 'g')"
-_PG = "p as (select distinct on (page_id) * from web_fetched_pages where title is not null and text is not null)"
+_PG = "p as (select distinct on (page_id) * from web_fetched_pages where text is not null)"
+_STRIP = lambda c: rf"regexp_replace({c}, '^[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+|[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+$', '', 'g')"
+_NEAR = "select vec_id as unit_ix, list_sum(list_transform(list_zip(embedding, e), lambda x: x[1]::double * x[2]::double)) as dense from embeddings, (select embedding as e from embeddings order by vec_id limit 1) order by round(dense, 9) desc, vec_id limit 60"
+
+
+def _text_sql() -> str:
+    line, three = _STRIP(r"regexp_replace(l, '[ \t\r\f\x0b\x{a0}]+', ' ', 'g')"), _STRIP(r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')")
+    return f"""with {_PG}, x as (select page_id, string_split(' ' || coalesce(title, '') || ' ' || text || chr(10) || repeat('x ', coalesce(len(discovered_links), 0)::int), chr(10)) as a from p),
+y as (select page_id, array_to_string(list_transform(a, lambda l: {line}), chr(10)) as t from x) select page_id, {three} as text from y"""
+
+
+def _modes_sql() -> str:
+    """The passes of each mode and the words they add, as values; modes by all their names."""
+    words = [f"('{m}', '{n}', '{w.get('en', '')}', '{w.get('mixed', w.get('ko', ''))}', '{w.get('ko', '')}')" for m in dsl.MODES for n, w in [("pass_a_support", {}), *((k, dsl.PASS_WORDS[k]) for k, _ in dsl.passes("x", m)[1:])]]
+    names = [f"('{x}', '{dsl.mode(x).name}')" for x in [*dsl.MODES, *dsl.MODE_NAMES]]
+    return rf"""with v(mode, pass, en, mixed, ko) as (values {', '.join(words)}), nm(name, mode) as (values {', '.join(names)}), s as (select distinct session_id, search_mode, clean_query, regexp_replace(lower(search_mode), '\s+', '', 'g') as k from library_sessions where clean_query is not null),
+x as (select s.*, coalesce((select mode from nm where name = k), (select mode from nm where name = regexp_replace(k, '모드$', '')), 'investigation') as mode, {_lang('clean_query')} as lg from s)
+select session_id, pass, trim(clean_query || ' ' || case lg when 'en' then en when 'mixed' then mixed else ko end, ' ') as query from x join v using (mode)"""
 
 ORACLES = {
     "minmax_norm": f"with {_U}, {_hybrid_sql(None, 30)} select unit_ix, round(bn, 6) as bm25_norm, round(ln, 6) as lexical_norm from h where rank <= 30",
     "rrf_fusion": f"with {_U}, {_hybrid_sql(None, 30)} select unit_ix, round(rrf, 8) as rrf from h where rank <= 30",
-    "highlight": f"with {_U} select unit_ix, {_MARK} as marked from u where source_type = 'caption'",
-    "html_title": rf"with {_PG} select page_id, trim(regexp_replace(title, '[\s\p{{Z}}]+', ' ', 'g')) as title from p",
-    "html_links": rf"with {_PG}, x as (select page_id, final_url, unnest(discovered_links) as l from p) select distinct page_id, l as link from x where lower(regexp_extract(l, '^https?://([^/?#]*)', 1)) = lower(regexp_extract(final_url, '^[A-Za-z]+://([^/?#]*)', 1))",
+    "highlight": f"with {_U}, m as (select unit_ix, {_STRIP(_MARK)} as x from u) select unit_ix, case when length(x) <= 220 then x else {_STRIP('left(x, 219)')} || '…' end as marked from m",
+    "html_title": rf"with {_PG} select page_id, trim(regexp_replace(coalesce(title, ''), '[\s\p{{Z}}]+', ' ', 'g')) as title from p",
+    "html_text": _text_sql(),
+    "mode_passes": _modes_sql(),
+    "crawl_frontier": "select distinct l as url from (select unnest(discovered_links) as l from web_fetched_pages) where l not in (select url from web_fetched_pages where url is not null union select final_url from web_fetched_pages where final_url is not null)",
+    "web_fallback": f"with {_WEB} select result_id, round(greatest(0.0, 0.65 - 0.06 * (case when coalesce(web_rank, 0) = 0 then 999 else web_rank end - 1)), 6)::double as score from r",
+    "p3_zones": "select collector_id, case when time_zone in ('Asia/Seoul', 'Asia/Tokyo') then 'Asia/Seoul' else time_zone end as estimated_zone from collectors",
+    "hybrid_dense": f"with {_U}, {_hybrid_sql(dense=_NEAR)} select rank::int as rank, unit_ix, round(score, 5) as score, round(bm25, 5) as bm25, round(dense, 5) as dense, round(lexical, 5) as lexical from h where rank <= 10",
+    "hybrid_aliases": f"with {_U}, {_hybrid_sql([('pass_a_support', '처리 속도개선 백신')], aliases=True)} select pass_ix, rank::int as rank, unit_ix, round(score, 6) as score from h where rank <= 10",
+    "rerank_blend": f"""with {_U}, {_hybrid_sql(None, 30)}, k as (select unit_ix, score, row_number() over (order by round(score, 9) desc, unit_ix) as n from h where rank <= 30)
+select unit_ix, round(case when n <= 10 then 0.35 * score + 0.65 * (0.85 * {_OV(Q)} + 0.15 * least(len(list_distinct(ts)) / 32.0, 1.0)) else score end, 6) as score from k join t using (unit_ix)""",
+    "html_links": rf"with {_PG}, x as (select page_id, final_url, unnest(discovered_links) as l from p) select distinct page_id, l as link from x where lower(regexp_extract(l, '^https?://(?:[^@/?#]*@)?([^/?#:]*)', 1)) = lower(regexp_extract(final_url, '^[A-Za-z]+://(?:[^@/?#]*@)?([^/?#:]*)', 1))",
     "snippet_units": f"with {_WEB} select result_id as unit_ix, url as doc_id, trim(snippet, ' ') as content, length(trim(snippet, ' '))::bigint as char_end, 0.62::double as confidence from r where url is not null and trim(coalesce(snippet, ''), ' ') <> ''",
     "units_sentences": f"""with a as (select doc_id::varchar as doc_id, {_SENT} as ss from documents where text is not null), b as (select doc_id, ss, unnest(range(1, len(ss) + 1)) as i from a)
 select doc_id, (i - 1)::int as pos, ss[i] as content, coalesce(list_sum(list_transform(ss[1:i - 1], lambda s: length(s) + 1)), 0)::bigint as char_start, (coalesce(list_sum(list_transform(ss[1:i - 1], lambda s: length(s) + 1)), 0) + length(ss[i]))::bigint as char_end from b""",
@@ -438,7 +492,7 @@ select doc_id, (i - 1)::int as pos, ss[i] as content, coalesce(list_sum(list_tra
     "tokens_tf": f"with {_U}, {_tok()} select unit_ix, term, count(*) as tf, dl::int as dl from (select unit_ix, len(ts) as dl, unnest(ts) as term from t) group by all",
     "term_df": f"with {_U}, {_tok()} select term, count(*) as df from (select unit_ix, unnest(list_distinct(ts)) as term from t) group by 1",
     "corpus_stats": f"with {_U}, {_tok(n=4)} select shard_id, count(*) as n, round(avg(len(ts)), 6) as avgdl from t group by 1",
-    "char_ngrams": f"with {_U}, c as (select * from u where source_type = 'caption'), {_tok('c')} select unit_ix, array_to_string(ts, ' ') as tokens from t",
+    "char_ngrams": f"with {_U}, {_tok()} select unit_ix, array_to_string(ts, ' ') as tokens from t",
     "shard_assign": f"with {_U} select unit_ix, {_SHARD.format(n=4)} as shard_id from u",
     "masked_entity": r"""select c_custkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(c_name || ' mail ' || lower(regexp_replace(c_name, '[^A-Za-z0-9]', '.', 'g')) || '@example.com 010-xxxx1234 홍길동')),
  '([a-z0-9._%+-]{1,3})[a-z0-9._%+-]*(@[a-z0-9.-]+\.[a-z]{2,})', '\1***\2', 'g'), '([a-z])[a-z*]{1,}([a-z])', '\1*\2', 'g'), '([가-힣])[가-힣*]{1,}([가-힣])', '\1*\2', 'g'), '(\d{2,})[-_]?[*xX]{2,}(\d{0,})', '\1***\2', 'g'), '\s+', ' ', 'g') as masked from customer""",
@@ -477,6 +531,7 @@ select query_id, max(rel)::double as hit, round(coalesce(1.0::double / min(rank)
  regexp_extract_all(t, '(?:^|[^0-9A-Za-z_가-힣])(20\d\d년\s*0?\d{{1,2}}월\s*0?\d{{1,2}}일)(?:$|[^0-9A-Za-z_가-힣])', 1))) as g from s), p as (select unit_ix, doc_id, regexp_extract_all(g, '\d+') as a from e)
 select distinct a[1] || '-' || lpad(a[2]::int::varchar, 2, '0') || '-' || lpad(a[3]::int::varchar, 2, '0') as date, doc_id as url, unit_ix as web_rank from p where a[2]::int between 1 and 12 and a[3]::int between 1 and 31""",
     "trusted_filter": rf"with {_U}, h as (select *, lower(regexp_extract(doc_id, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) as host from u) select unit_ix from h where source_type not in ('web_snippet', 'web_page_text') or host = 'my-por-archive.example' or host like '%.my-por-archive.example' or host = 'open-nir.example' or host like '%.open-nir.example'",
-    "session_list": "select distinct session_id, created_at, raw_query from library_sessions where search_mode = 'sniper' and contains(lower(raw_query), 'doc:')",
+    "session_list": "select distinct session_id, created_at, raw_query from library_sessions where search_mode = 'sniper' and contains(lower(concat_ws(' ', raw_query, clean_query)), 'doc:')",
     "incremental_reuse": rf"with {_U}, k as (select unit_ix, doc_id || chr(31) || coalesce(section_path, '') || chr(31) || content as key from u) select unit_ix, case when key in (select key from k where unit_ix % 2 = 0) then 'kept' else 'missing' end as state from k",
 }
+ORACLES |= {"bm25_topk_indexed": ORACLES["bm25_topk"], "hybrid_indexed": ORACLES["hybrid_retrieve"]}

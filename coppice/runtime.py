@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +57,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if known:
         return known
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "coppice-checkpoints"))
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, for tables of this run."""
+    return f"{checkpoint_dir(spark)}/coppice-{uuid.uuid4().hex}"
+
+
+def write_text(spark: SparkSession, path: str, text: str, append: bool = False) -> None:
+    """A small file on whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = read_text(spark, path) if append and fs.exists(at) else ""
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray((before + text).encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder and read again: survives lost executors, lineage ends here."""
     checkpoint_dir(df.sparkSession)

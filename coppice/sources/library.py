@@ -11,7 +11,7 @@ import shutil
 import zipfile
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SESSION = "session_id string, created_at string, mode string, raw_query string, clean_query string, filters string, result string, extra string"
@@ -35,9 +35,16 @@ class Library:
         return sid
 
     def append_evidence(self, units: DataFrame, tag: str) -> int:
-        out = f"{self.base}/evidence/{_slug(tag)}"
-        units.write.mode("append").json(out)
-        return units.count()
+        """Appends the rows and counts them while they are written."""
+        seen = Observation()
+        units.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(f"{self.base}/evidence/{_slug(tag)}")
+        return seen.get["n"]
+
+    def append_rows(self, rows: list[dict], tag: str) -> int:
+        """A search's few collected rows as JSON lines."""
+        with open(f"{self.base}/evidence/{_slug(tag)}.jsonl", "a") as f:
+            f.writelines(json.dumps(r, ensure_ascii=False) + "\n" for r in rows)
+        return len(rows)
 
     def save_artifacts(self, session_id: str, artifacts: dict) -> str:
         path = f"{self.base}/osint/{_slug(session_id)}.json"
@@ -48,13 +55,7 @@ class Library:
     def sessions(self, spark: SparkSession, *, mode: str | None = None, contains: str | None = None, limit: int | None = None) -> DataFrame:
         """Index lines, newest first; unreadable lines are skipped."""
         rows = spark.read.schema("session_id string, created_at string, mode string, raw_query string, clean_query string").option("mode", "DROPMALFORMED").json(f"{self.base}/sessions.jsonl")
-        rows = rows.where(F.col("session_id").isNotNull())
-        if mode:
-            rows = rows.where(F.col("mode") == mode)
-        if contains:
-            rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "raw_query", "clean_query")), F.lit(contains.lower())))
-        rows = rows.orderBy(F.desc("created_at"), "session_id")
-        return rows if limit is None else rows.limit(limit)
+        return listing(rows, mode=mode, contains=contains, limit=limit)
 
     def load(self, session_id: str) -> dict:
         path = f"{self.base}/sessions/{session_id}.json"
@@ -103,6 +104,17 @@ class Library:
         shutil.rmtree(self.base, ignore_errors=True)
 
 
+def listing(rows: DataFrame, *, mode: str | None = None, contains: str | None = None, limit: int | None = None) -> DataFrame:
+    """Sessions of a mode whose queries contain a text, newest first; rows without an id are skipped."""
+    rows = rows.where(F.col("session_id").isNotNull())
+    if mode:
+        rows = rows.where(F.col("mode") == mode)
+    if contains:
+        rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "raw_query", "clean_query")), F.lit(contains.lower())))
+    rows = rows.orderBy(F.desc("created_at"), "session_id")
+    return rows if limit is None else rows.limit(limit)
+
+
 def _slug(text: str) -> str:
     return re.sub(r"[^\w-]+", "_", text).strip("_") or "x"
 

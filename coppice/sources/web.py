@@ -6,7 +6,7 @@ import html
 import ipaddress
 import re
 import socket
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 from urllib.parse import parse_qs, urldefrag, urljoin, urlparse
 
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 PAGE = "url string, final_url string, status int, content_type string, title string, text string, bytes_read bigint, truncated boolean, discovered_links array<string>, error string"
 SEARCH_RESULT = "title string, url string, snippet string, web_rank int, provider string"
 
@@ -42,12 +44,12 @@ def html_title(text: str) -> str:
 
 def html_links(text: str, base: str, most: int = 24) -> list[str]:
     """Distinct http(s) links to the page's own host without fragment and parameters, in order, at most `most`."""
-    host, out = urlparse(base).netloc.lower(), []
+    host, out = urlparse(base).hostname, []
     for href in re.findall(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", text or ""):
         if href.lower().startswith(("javascript:", "mailto:", "tel:", "#")):
             continue
         u = urlparse(urldefrag(urljoin(base, html.unescape(href)))[0])._replace(params="")
-        if u.scheme in ("http", "https") and u.netloc.lower() == host and u.geturl() not in out:
+        if u.scheme in ("http", "https") and u.hostname == host and u.geturl() not in out:
             out.append(u.geturl())
     return out[:most]
 
@@ -102,19 +104,30 @@ def parse_pages(pages: DataFrame, html_col: str = "html", url: str = "url") -> D
     return pages.select(*[f.name for f in rest]).mapInPandas(run, schema)
 
 
-def fetch(urls: DataFrame, provider: FetchProvider) -> DataFrame:
-    """Fetches a column url in tasks; pos keeps the order of the input. Errors become rows with error set."""
+def fetch(urls: DataFrame, provider: FetchProvider, *, max_pages: int | None = None, max_bytes: int = 2_500_000, max_chars: int = 180_000, public: Callable[[str], bool] = is_public_host) -> DataFrame:
+    """Fetches a column url in tasks; pos keeps the order of the input, max_pages its first rows. Errors become rows with error set.
+
+    provider.fetch gives the columns of PAGE or, as raw bytes with a content_type, an answer that is cut to max_bytes and read here. Hosts
+    that are not public are refused before the fetch and after a redirect.
+    """
+    if max_pages is not None:
+        urls = urls.orderBy("pos").limit(max_pages)
+
+    def refusal(u: str) -> str | None:
+        p = urlparse(u or "")
+        return "empty_url" if not u else "unsupported_scheme" if p.scheme not in ("http", "https") else "missing_hostname" if not p.hostname else None if public(p.hostname) else "blocked_hostname"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for pos, u in zip(b["pos"], b["url"]):
-                p = urlparse(u or "")
-                error = "empty_url" if not u else "unsupported_scheme" if p.scheme not in ("http", "https") else "missing_hostname" if not p.hostname else None
-                base = {"pos": pos, "url": u, "final_url": u, "status": None, "content_type": "", "title": "", "text": "", "bytes_read": 0, "truncated": False, "discovered_links": [], "error": error}
-                if not error:
+                base = {"pos": pos, "url": u, "final_url": u, "status": None, "content_type": "", "title": "", "text": "", "bytes_read": 0, "truncated": False, "discovered_links": [], "error": refusal(u)}
+                if not base["error"]:
                     try:
-                        base |= provider.fetch(u)
+                        got = provider.fetch(u)
+                        base |= read_answer(got, u, max_bytes, max_chars) if "raw" in got else got
+                        if base["final_url"] != u and (late := refusal(base["final_url"])):
+                            base |= {"title": "", "text": "", "discovered_links": [], "error": late}
                     except Exception as e:  # noqa: BLE001 - one bad page must not fail the task
                         base["error"] = f"fetch_error:{type(e).__name__}"
                 rows.append(base)
@@ -123,6 +136,57 @@ def fetch(urls: DataFrame, provider: FetchProvider) -> DataFrame:
     return urls.select("pos", "url").mapInPandas(run, "pos bigint, " + PAGE)
 
 
+def read_answer(got: dict, url: str, max_bytes: int = 2_500_000, max_chars: int = 180_000) -> dict:
+    """Columns of PAGE from {raw, content_type, final_url, status}: HTML, other text, or an error for PDFs and pictures, which need an extractor."""
+    raw, kind, final = got["raw"][:max_bytes], (got.get("content_type") or "").lower(), got.get("final_url") or url
+    out = {"final_url": final, "status": got.get("status"), "content_type": kind, "bytes_read": len(raw), "truncated": len(got["raw"]) > max_bytes, "error": None}
+    if "pdf" in kind or kind.startswith("image/"):
+        return out | {"error": "pdf_no_text" if "pdf" in kind else "image_no_text"}
+    text = decode(raw, kind)
+    if "html" in kind or re.search(r"(?i)<html|<body|<p\b", text[:2000]):
+        out |= {"title": html_title(text), "discovered_links": html_links(text, final)}
+        text = clean_html(text)
+    text = text.strip()
+    return out | {"text": text[:max_chars], "truncated": out["truncated"] or len(text) > max_chars, "error": None if text else "empty_text"}
+
+
+def crawl(seeds: DataFrame, provider: FetchProvider, *, depth: int = 0, max_pages: int = 4, **options) -> DataFrame:
+    """Pages of PAGE with crawl_depth: the seeds (pos, url), then the links of what was fetched that were not visited yet, depth by depth (at most 2), at most max_pages each."""
+    done, live, visited = None, seeds, None
+    for level in range(min(max(depth, 0), 2) + 1):
+        pages = cut(fetch(live, provider, max_pages=max_pages, **options).withColumn("crawl_depth", F.lit(level)))
+        done = pages if done is None else done.unionByName(pages)
+        seen = pages.select("url").unionByName(pages.select(F.col("final_url").alias("url"))).where(F.col("url").isNotNull())
+        visited = seen if visited is None else visited.unionByName(seen)
+        if level < depth:
+            fresh = frontier(pages, visited)
+            live = fresh.orderBy("url").limit(max_pages).withColumn("pos", F.monotonically_increasing_id())
+    return done
+
+
+def page_chunks(pages: DataFrame, key: str, *, most: int = 10, **options) -> DataFrame:
+    """(key, chunk_no, content, char_start, char_end): the chunks of each page's text, at most `most` of a page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, i, t, s, e) for k, text in zip(b[key], b["text"]) for i, (t, s, e) in enumerate(chunk_text(text or "", **options)[:most])]
+            yield pd.DataFrame(rows, columns=[key, "chunk_no", "content", "char_start", "char_end"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, "text").mapInPandas(run, f"`{key}` {kind}, chunk_no int, content string, char_start bigint, char_end bigint")
+
+
+def page_units(pages: DataFrame, confidence: float = 0.60) -> DataFrame:
+    """Chunks of readable pages as evidence units; other columns of the pages' first row with a final_url are kept: web_rank, n_passes where given."""
+    kept = [c for c in ("web_rank", "n_passes") if c in pages.columns]
+    ok = pages.where(page_ok()).groupBy(F.coalesce("final_url", "url").alias("doc_id")).agg(F.min_by("text", "pos").alias("text"), F.min_by("title", "pos").alias("title"), *[F.min(c).alias(c) for c in kept])
+    rows = page_chunks(ok, "doc_id").join(ok.drop("text"), "doc_id")
+    return rows.select(
+        F.xxhash64("doc_id", "chunk_no").alias("unit_ix"), "doc_id", F.lit("web_page_text").alias("source_type"), "content", F.col("title").alias("section_path"), "char_start", "char_end",
+        F.lit(None).cast("string").alias("timestamp"), F.lit(confidence).alias("confidence"), F.lit(None).cast("string").alias("canonical_entity_id"), *kept,
+    )
+
+
 def page_ok() -> Column:
     return F.col("error").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != "")
 
@@ -133,6 +197,14 @@ def frontier(pages: DataFrame, visited: DataFrame) -> DataFrame:
     return links.join(visited.select("url").distinct(), "url", "left_anti")
 
 
+def with_result(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """pages with web_rank and n_passes of the search result they came from, by url or else by final_url; pages found by crawling have none."""
+    r = lambda k: results.select(F.col("url").alias(k), F.struct("web_rank", "n_passes").alias(f"{k}_r"))
+    both = pages.drop("web_rank", "n_passes").join(r("url"), "url", "left").join(r("final_url"), "final_url", "left")
+    hit = F.coalesce("url_r", "final_url_r")
+    return both.select(*pages.columns, hit["web_rank"].alias("web_rank"), F.coalesce(hit["n_passes"], F.lit(1)).alias("n_passes"))
+
+
 def snippet_units(results: DataFrame, confidence: float = 0.62) -> DataFrame:
     """Search results as evidence units; those without url or text are left out."""
     text = F.trim(F.coalesce("snippet", F.lit("")))

@@ -134,8 +134,8 @@ def test_spans_and_builds(spark, tmp_path):
     assert [(r.content, r.char_start, r.char_end) for r in got] == [("One.", 0, 4), ("Two two.", 5, 13), ("Three", 14, 19)]
     u = documents.sentence_units(docs).withColumn("unit_ix", F.col("pos").cast("bigint"))
     m = documents.write_build(u, str(tmp_path / "b"), corpus="c", shards=2)
-    back, post, manifest = documents.load_build(spark, str(tmp_path / "b"))
-    assert manifest == m and back.count() == 3 and post.count() > 0
+    back, index, manifest = documents.load_build(spark, str(tmp_path / "b"))
+    assert manifest == m and back.count() == 3 and index.postings.count() > 0
     with pytest.raises(ValueError):
         documents.write_build(u.limit(0), str(tmp_path / "e"), corpus="c")
     old = u.where("pos = 0").select(documents.content_key("m1").alias("key"), F.array(F.lit(1.0)).alias("embedding"))
@@ -165,7 +165,7 @@ def test_html(spark):
                 raise OSError
             return {"status": 200, "text": "ok"}
 
-    got = web.fetch(spark.createDataFrame([(0, "https://a.example/"), (1, "ftp://x"), (2, "https://bad.example/"), (3, "")], "pos int, url string"), P()).orderBy("pos").collect()
+    got = web.fetch(spark.createDataFrame([(0, "https://a.example/"), (1, "ftp://x"), (2, "https://bad.example/"), (3, "")], "pos int, url string"), P(), public=lambda h: True).orderBy("pos").collect()
     assert [x.error for x in got] == [None, "unsupported_scheme", "fetch_error:OSError", "empty_url"]
 
 
@@ -256,3 +256,87 @@ def test_binaries(spark, tmp_path):
     (tmp_path / "f.pdf").write_bytes(b"hello")
     got = read_binaries(spark, [str(tmp_path / "f.pdf")], X()).orderBy("pos").collect()
     assert [(r.source_type, r.content, r.section_path) for r in got] == [("text_sentence", "hello", "page/1/text"), ("table_cell", "a", "page/1/table/1/r1c1"), ("table_cell", "b", "page/1/table/1/r2c1"), ("table_cell", "c", "page/1/table/1/r2c2"), ("ocr_text", "read", "page/2/ocr")]
+
+
+def test_index_gives_what_texts_give(spark, units, tmp_path):
+    out = str(tmp_path / "b")
+    enc = documents.HashEncoder(16)
+    first = documents.write_build(units.limit(2), out + "0", corpus="c", shards=2, encoder=enc, model="h")
+    m = documents.write_build(units, out, corpus="c", shards=2, encoder=enc, model="h", previous=out + "0")
+    assert first["reused_vectors"] == 0 and m["reused_vectors"] == 2 and set(m["sha256"]) == {"units", "postings", "terms", "stats", "vectors"}
+    rows, index, _ = documents.load_build(spark, out)
+    terms = retrieval.query_terms(spark, dsl.passes(Q))
+    cold = {tuple(r) for r in retrieval.retrieve(retrieval.with_shard(units, 2), terms, 5).select("pass_ix", "unit_ix", F.round("score", 9)).collect()}
+    warm = retrieval.retrieve(rows, terms, 5, index=index).select("pass_ix", "unit_ix", F.round("score", 9))
+    assert {tuple(r) for r in warm.collect()} == cold
+    e = Engine(rows, shards=2, index=index, vectors=documents.load_vectors(spark, out), encoder=enc)
+    r = e.search(Q, aliases=False)
+    assert r.evidence[0]["unit_ix"] == 1 and any(x["dense"] is not None for x in r.evidence) and sum(r.diagnostics["shards"].values()) > 0
+
+
+def test_plug_ins_and_time_budget(spark, units):
+    class Last:
+        def score(self, query, contents):
+            return [float("예외" in c) for c in contents]
+
+    class Against:
+        def predict(self, query, contents):
+            return [{"label": "contradicts", "score": 0.99, "rationale": "x"} for _ in contents]
+
+    e = Engine(units, reranker=Last(), detector=Against())
+    r = e.search(Q, aliases=False)
+    assert r.evidence[0]["unit_ix"] == 2 and len(r.contradictions) == len(r.evidence)
+    late = e.search(Q + " ", aliases=False, time_budget=0.0)
+    assert late.diagnostics["passes"] == ["pass_a_support"] and late.diagnostics["skipped_passes"] and late.diagnostics["rerank"]["reason"] == "time_budget_exceeded"
+    assert [postproc.parse_score(x) for x in ("0.7", "score: 1", "about 0.25.", "none", "nan")] == [0.7, 1.0, 0.25, 0.0, 0.0]
+
+    class Model:
+        def generate(self, prompt):
+            return "written [1]" if "Answer the query" in prompt else "0.5"
+
+    assert Engine(units, model=Model()).search(Q, mode="llm", aliases=False).answer == "written [1]"
+    assert postproc.ModelReranker(Model()).score("q", ["a"]) == [0.5]
+    with pytest.raises(ValueError):
+        Engine(units, vectors=units)
+
+
+def test_pages_join_the_search(spark, units, tmp_path):
+    long = "The walrus report names the harbour and the date of 2024-01-02 in each of its many parts. " * 4
+
+    class P:
+        def search(self, query, most):
+            return [{"title": "Walrus 2024-01-03", "url": "https://w.example/1", "snippet": "a walrus snippet", "rank": 1, "provider": "p"}, {"title": "t", "url": "https://v.example/2", "snippet": "qqq", "rank": 2}][:most]
+
+    class F2:
+        def fetch(self, url):
+            link = "<a href='/next'>n</a>" if url.endswith("1") else ""
+            return {"raw": f"<html><title>T</title><body><p>{long}</p>{link}</body></html>".encode(), "content_type": "text/html", "status": 200}
+
+    lib = Library(str(tmp_path / "l"))
+    e = Engine(units, search_provider=P(), fetch_provider=F2(), library=lib, crawl_depth=1, fetch_options={"public": lambda h: True})
+    r = e.search("walrus report", aliases=False)
+    kinds = {x["source_type"] for x in r.evidence}
+    assert "web_page_text" in kinds and r.diagnostics["web"]["used"] and r.diagnostics["osint"]["timeline"][0]["date"] == "2024-01-03"
+    saved = lib.load(r.diagnostics["session_id"])
+    assert saved["extra"]["graph"]["nodes"] and (tmp_path / "l/osint").iterdir() and any((tmp_path / "l/evidence").iterdir())
+    far = Engine(units, search_provider=P()).search("zzzxxyyqq", aliases=False)
+    assert far.evidence and far.evidence[0]["why"] == "web_fallback" and far.evidence[0]["verdict"] == "uncertain"
+    blocked = web.fetch(spark.createDataFrame([(0, "http://127.0.0.1/x"), (1, "ftp://a.example/"), (2, "")], "pos bigint, url string"), F2()).orderBy("pos").collect()
+    assert [x.error for x in blocked] == ["blocked_hostname", "unsupported_scheme", "empty_url"]
+    assert web.read_answer({"raw": b"x" * 50, "content_type": "text/plain"}, "u", max_bytes=10)["truncated"] and web.read_answer({"raw": b"", "content_type": "application/pdf"}, "u")["error"] == "pdf_no_text"
+
+
+def test_documents_to_build_and_service(spark, tmp_path, capsys):
+    from coppice.cli import answer, load_engine, main
+
+    (tmp_path / "a.txt").write_text("The walrus sleeps. The seal swims.")
+    (tmp_path / "b.md").write_text("A walrus wakes.")
+    with pytest.raises(ValueError):
+        documents.parse_documents(spark, [str(tmp_path / "a.txt"), "x.exe"])
+    assert main(["build", str(tmp_path / "a.txt"), str(tmp_path / "b.md"), "--out", str(tmp_path / "o"), "--vectors"]) == 0
+    (tmp_path / "cases.json").write_text('[{"query": "seal swims", "doc_ids": ["a"]}]')
+    assert main(["evaluate", str(tmp_path / "cases.json"), "--build", str(tmp_path / "o")]) == 0
+    assert '"mrr": 1.0' in capsys.readouterr().out
+    e = load_engine(str(tmp_path / "o"))
+    status, out = answer(e, b'{"query": "seal", "k": 2}')
+    assert status == 200 and out["evidence"]["items"][0]["doc_id"] == "a" and answer(e, b"{}")[0] == 400 and answer(e, b" " * 1_000_001)[0] == 413

@@ -1,8 +1,7 @@
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 import __spark_entry__ as e
+from coppice.engine import highlight
 from coppice.functions import text
 from coppice.plans import catalog, dsl
 from coppice.runtime import table
@@ -27,15 +26,12 @@ def test_each_session_has_the_passes_of_its_mode(spark):
 
 def test_whole_tables(spark):
     units = {r.unit_ix: r.content for r in catalog.units(spark, SMALL).collect()}
-    got = {r.unit_ix: r.tokens for r in catalog.char_ngrams_all(spark, SMALL).collect()}
+    got = {r.unit_ix: r.tokens for r in catalog.char_ngrams(spark, SMALL).collect()}
     assert got.keys() == units.keys() and all(Counter(t.split()) == Counter(text.tokens_py(units[i])) for i, t in got.items())
-    marked = {r.unit_ix: r.marked for r in catalog.highlight_all(spark, SMALL).collect()}
-    assert {i: m.replace("[[", "").replace("]]", "") for i, m in marked.items()} == {i: c.replace("[[", "").replace("]]", "") for i, c in units.items()}
+    marked = {r.unit_ix: r.marked for r in catalog.highlight(spark, SMALL).collect()}
+    assert marked == {i: highlight(c, catalog.Q) for i, c in units.items()}
     rows = table(spark, SMALL, "web_fetched_pages").dropDuplicates(["page_id"]).where("text is not null")
     pages = {r.page_id: r.title for r in rows.collect()}
-    titles = {r.page_id: r.title for r in catalog.html_title_all(spark, SMALL).collect()}
+    titles = {r.page_id: r.title for r in catalog.html_title(spark, SMALL).collect()}
     assert None in pages.values() and titles == {i: " ".join((t or "").split()) for i, t in pages.items()}
     assert {r.page_id for r in catalog.html_text(spark, SMALL).collect()} == pages.keys()
-    untitled = {r.page_id for r in rows.where(F.col("title").isNull()).collect()}
-    linked = {r.page_id for r in catalog.html_links_all(spark, SMALL).collect()}
-    assert {r.page_id for r in catalog.html_links(spark, SMALL).collect()} == linked - untitled

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -329,6 +330,15 @@ def test_sentences_and_subjects(spark):
     assert subjects.subject_areas(d, l.limit(0)).count() == 0
 
 
+def test_repeated_long_sentences_are_mined_in_time(spark):
+    ws = ["".join("bdklmnrstv"[int(c)] + "a" for c in f"{i:03}") for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(ws) + f". The court met {'abcdefghij'[i % 10]} judge.") for i in range(50)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "law") for i in range(50)] + [(0, "sea x")], "doc_id bigint, subject string")
+    began = time.time()
+    rules = subjects.mine(docs, labels, min_count=4)
+    assert rules and max(len(a) for a, *_ in rules) <= 2 and time.time() - began < 120
+
+
 # ---- scans
 
 

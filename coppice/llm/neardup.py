@@ -105,7 +105,7 @@ def _count_udf(buckets: int):
 
 def _shard_udf(rank, threshold: float, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = rank.value
+        counts, hot_tokens, hot_counts = rank.value
         nb = np.uint64(len(counts))
         for b in batches:
             ids = b.column(0).to_numpy()
@@ -122,12 +122,16 @@ def _shard_udf(rank, threshold: float, hot: int):
             prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
             first = pos < np.repeat(prefix, size)
             at = order[first]
-            o, tok, cc = owner[at], v[at].view(np.int64), c[at]
-            blocks = -(-cc // hot)
+            o, tok = owner[at], v[at].view(np.int64)
+            blocks = np.ones(len(tok), np.int64)
+            if len(hot_tokens):
+                place = np.minimum(np.searchsorted(hot_tokens, tok), len(hot_tokens) - 1)
+                own_count = np.where(hot_tokens[place] == tok, hot_counts[place], 1)
+                blocks = -(-own_count // hot)
             x = np.zeros(len(o), np.int32)
             y = np.zeros(len(o), np.int32)
             many = blocks > 1
-            if many.any():  # a token that may be hot: its rows meet block by block, each pair of blocks once
+            if many.any():  # a hot token: its rows meet block by block, each pair of blocks once
                 o2, tok2, n2 = o[many], tok[many], blocks[many]
                 own = (_mix(ids[o2].view(np.uint64)) % n2.astype(np.uint64)).astype(np.int64)
                 r = np.repeat(np.arange(len(o2)), n2)
@@ -277,13 +281,27 @@ def _search_udf(allow: float):
     return run
 
 
-def class_pairs(sets: DataFrame, threshold: float, buckets: int, hot: int) -> DataFrame:
-    """(a, b), a < b: pairs of rows of sets (id, sh; no two sets equal) with Jaccard similarity >= threshold, each once."""
+def class_pairs(sets: DataFrame, threshold: float, buckets: int | None, hot: int) -> DataFrame:
+    """(a, b), a < b: pairs of rows of sets (id, sh; no two sets equal) with Jaccard similarity >= threshold, each once.
+
+    A token counts as hot when it is frequent itself: the tokens of buckets over `hot` are counted one by one, so that a bucket that is full
+    of rare tokens parts nobody's rows into blocks.
+    """
     spark = sets.sparkSession
+    if buckets is None:
+        total = sets.agg(F.coalesce(F.sum(F.size("sh")), F.lit(0)).alias("n")).first().n
+        buckets = min(1 << 24, max(1 << 16, total // 64))
+    buckets = 1 << max(buckets - 1, 1).bit_length()  # a power of two
     counts = np.zeros(buckets, np.int64)
     for r in sets.select("sh").mapInArrow(_count_udf(buckets), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[r.bucket] = r.n  # at most `buckets` rows, whatever the corpus
-    rank = spark.sparkContext.broadcast(counts)
+    full = np.flatnonzero(counts > hot)
+    tokens: dict[int, int] = {}
+    if len(full):  # a token over hot fills its bucket, so there are at most (all shingles) / hot of them
+        wanted = spark.createDataFrame([(int(x),) for x in full], "bucket bigint")
+        each = sets.select(F.explode("sh").alias("t")).withColumn("bucket", F.col("t").bitwiseAND(F.lit(buckets - 1)))
+        tokens = {r.t: r.n for r in each.join(wanted, "bucket", "left_semi").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > hot).collect()}
+    rank = spark.sparkContext.broadcast((counts.astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64), np.array(sorted(tokens), np.int64), np.array([tokens[t] for t in sorted(tokens)], np.int64)))
     shards = sets.select("id", "sh").mapInArrow(_shard_udf(rank, threshold, hot), "token bigint, x int, y int, id bigint, size int, f0 bigint, f1 bigint")
     by = shards.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
     allow = (1 - threshold) / (1 + threshold)
@@ -299,11 +317,12 @@ def class_pairs(sets: DataFrame, threshold: float, buckets: int, hot: int) -> Da
     return both.where(common >= threshold * (F.col("na") + F.col("nb") - common) - 1e-9).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, *, width: int = 5, threshold: float = 0.8, least: int = 1, buckets: int = 1 << 16, hot: int = 20000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str, text: str, *, width: int = 5, threshold: float = 0.8, least: int = 1, buckets: int | None = None, hot: int = 20000) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (id, class_id) of every row in scope, pairs (a, b) of class ids whose sets are similar.
 
     A class is the rows with one and the same set, named by its least id; rows repeated with one id count once. Rows with a
-    null text, no words or fewer than `least` shingles are out of scope.
+    null text, no words or fewer than `least` shingles are out of scope. buckets: counters that order the shingles; by default as many as keep
+    their mean count at 64, from 65,536 to 16,777,216, so that the order stays one of rarity as the collection grows.
     """
     rows = shingled(df, key, text, width, least)
     payload = F.struct("sh", "g0", "g1", "g2", "g3")

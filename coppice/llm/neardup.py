@@ -290,7 +290,7 @@ def class_pairs(sets: DataFrame, threshold: float, buckets: int | None, hot: int
     spark = sets.sparkSession
     if buckets is None:
         total = sets.agg(F.coalesce(F.sum(F.size("sh")), F.lit(0)).alias("n")).first().n
-        buckets = min(1 << 24, max(1 << 16, total // 64))
+        buckets = min(1 << 24, max(1 << 16, total // 256))
     buckets = 1 << max(buckets - 1, 1).bit_length()  # a power of two
     counts = np.zeros(buckets, np.int64)
     for r in sets.select("sh").mapInArrow(_count_udf(buckets), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -322,7 +322,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, width: int = 5, thres
 
     A class is the rows with one and the same set, named by its least id; rows repeated with one id count once. Rows with a
     null text, no words or fewer than `least` shingles are out of scope. buckets: counters that order the shingles; by default as many as keep
-    their mean count at 64, from 65,536 to 16,777,216, so that the order stays one of rarity as the collection grows.
+    their mean count at 256, from 65,536 to 16,777,216, so that the order stays one of rarity as the collection grows.
     """
     rows = shingled(df, key, text, width, least)
     payload = F.struct("sh", "g0", "g1", "g2", "g3")

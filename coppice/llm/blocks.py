@@ -196,15 +196,15 @@ class Labeller:
             e[ok] = np.add.reduceat(self.p["E"][ids], starts[ok], axis=0) / sizes[ok, None]
         return np.concatenate([dense, e], axis=1)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, k: str, keep: bool = False):
-        """x (T, B, d), mask (T, B): hidden states (T, B, H) of one direction; padded steps leave the state as it is."""
+    def run(self, x: np.ndarray, mask: np.ndarray, k: str, keep: bool = False, state: tuple[np.ndarray, np.ndarray] | None = None):
+        """x (T, B, d), mask (T, B): hidden states (T, B, H) of one direction, what back() needs, and the last state; padded steps leave the state as it is."""
         t_max, b, _ = x.shape
         w, c0 = self.p[f"W{k}"], self.p[f"c{k}"]
         d = x.shape[2]
         xw = x.reshape(-1, d) @ w[:d] + c0
         xw = xw.reshape(t_max, b, -1)
         u = w[d:]
-        h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
+        h, c = state or (np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32))
         hs = np.zeros((t_max, b, HIDDEN), np.float32)
         trace = []
         for t in range(t_max) if k == "f" else range(t_max - 1, -1, -1):
@@ -220,7 +220,7 @@ class Labeller:
             c = m * c2 + (1 - m) * c
             h = m * (o * tc) + (1 - m) * h
             hs[t] = h
-        return hs, trace
+        return hs, trace, (h, c)
 
     def back(self, dhs: np.ndarray, trace: list, x: np.ndarray, k: str, grads: dict) -> np.ndarray:
         d = x.shape[2]
@@ -255,11 +255,23 @@ class Labeller:
 
     def scores(self, xs: list[np.ndarray]) -> list[np.ndarray]:
         x, mask = self.pad(xs)
-        f, _ = self.run(x, mask, "f")
-        b, _ = self.run(x, mask, "b")
+        f = self.run(x, mask, "f")[0]
+        b = self.run(x, mask, "b")[0]
         z = np.concatenate([f, b, x], axis=2) @ self.p["o"] + self.p["ob"]
         return [z[: len(v), j] for j, v in enumerate(xs)]
 
+    def long_scores(self, x: np.ndarray, window: int = 400) -> np.ndarray:
+        """Scores of one long page: both directions go through it window by window and carry their states on, so every line has the whole page as context."""
+        z = x @ self.p["o"][2 * HIDDEN :] + self.p["ob"]
+        starts = list(range(0, len(x), window))
+        for k, order, o in (("f", starts, self.p["o"][:HIDDEN]), ("b", starts[::-1], self.p["o"][HIDDEN : 2 * HIDDEN])):
+            state = None
+            for s in order:
+                part = x[s : s + window, None, :]
+                hs, _, state = self.run(part, np.ones(part.shape[:2], np.float32), k, state=state)
+                z[s : s + window] += hs[:, 0] @ o
+        return z
+
     def fit(self, pages: list[tuple], labels: list[np.ndarray], epochs: int, batch: int = 48, rate: float = 0.006, seed: int = 3) -> None:
         """Adam on the logistic loss. pages: what Features.page gives; labels: 0 or 1 per line."""
         r = np.random.default_rng(seed)
@@ -278,8 +290,8 @@ class Labeller:
                 y = np.zeros_like(mask)
                 for c, j in enumerate(some):
                     y[: len(labels[j]), c] = labels[j]
-                f, tf = self.run(x, mask, "f", True)
-                b, tb = self.run(x, mask, "b", True)
+                f, tf, _ = self.run(x, mask, "f", True)
+                b, tb, _ = self.run(x, mask, "b", True)
                 hx = np.concatenate([f, b, x], axis=2)
                 dz = (_sigmoid(hx @ self.p["o"] + self.p["ob"]) - y) * mask / mask.sum()
                 g = {"o": np.einsum("tbk,tb->k", hx, dz), "ob": np.array([dz.sum()], np.float32)}
@@ -303,10 +315,10 @@ class Labeller:
                     m2[k] = 0.999 * m2[k] + 0.001 * g[k] ** 2
                     self.p[k] = (self.p[k] - lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def main_lines(self, texts: list[str | None], window: int = 400, margin: int = 40, batch: int = 128) -> list[list[int]]:
-        """Numbers, from 1, of the main body's lines of each text; none for null and blank ones. Longer pages are read in windows that share margins."""
+    def main_lines(self, texts: list[str | None], window: int = 400, batch: int = 128) -> list[list[int]]:
+        """Numbers, from 1, of the main body's lines of each text; none for null and blank ones. Pages of up to `window` lines are read in batches, longer ones each by itself."""
         out: list[list[int]] = [[] for _ in texts]
-        jobs: list[tuple[int, int, int, int, np.ndarray, list[int]]] = []
+        jobs: list[tuple[int, np.ndarray, list[int]]] = []
         for j, t in enumerate(texts):
             if not t:
                 continue
@@ -314,15 +326,16 @@ class Labeller:
             if not at:
                 continue
             x = self.inputs(dense, ids, sizes)
-            for s in range(0, len(at), window):
-                lo, hi = max(0, s - margin), min(len(at), s + window + margin)
-                jobs.append((j, s - lo, min(s + window, len(at)) - lo, lo, x[lo:hi], at))
-        jobs.sort(key=lambda q: len(q[4]))
+            if len(at) > window:
+                out[j] = [i + 1 for i, z in zip(at, self.long_scores(x, window)) if z > 0]
+            else:
+                jobs.append((j, x, at))
+        jobs.sort(key=lambda q: len(q[1]))
         for s in range(0, len(jobs), batch):
             some = jobs[s : s + batch]
-            for (j, a, b, lo, _, at), z in zip(some, self.scores([q[4] for q in some])):
-                out[j] += [at[lo + k] + 1 for k in range(a, b) if z[k] > 0]
-        return [sorted(o) for o in out]
+            for (j, _, at), z in zip(some, self.scores([q[1] for q in some])):
+                out[j] = [i + 1 for i, v in zip(at, z) if v > 0]
+        return out
 
 
 def batches_of(order: np.ndarray, lengths: np.ndarray, batch: int, r: np.random.Generator) -> list[np.ndarray]:
@@ -403,16 +416,16 @@ def hash_sample(df: DataFrame, h: Column, most: int, total: int) -> DataFrame:
     return df.where(near).orderBy(h).limit(most)
 
 
-def main_body(pages: DataFrame, records: DataFrame, *, max_pages: int = 1600) -> DataFrame:
+def main_body(pages: DataFrame, records: DataFrame, *, max_pages: int = 1600, max_chars: int = 20_000) -> DataFrame:
     """(record_id, line_no INT) of the main body's lines, each once.
 
-    pages: final_url, text. At most max_pages of them, chosen by hash, are read by the driver to fit on; what recurs is counted over all of them. records: record_id, text to judge,
+    pages: final_url, text. At most max_pages of them of less than max_chars characters, chosen by hash, are read by the driver to fit on (the bound of the sample); what recurs is counted over all of them. records: record_id, text to judge,
     null and blank texts have no lines, exact copies of a row give theirs once.
     """
     from .lines import site
 
     every = pages.where(F.col("text").isNotNull()).select(site(F.col("final_url")).alias("s"), "final_url", "text")
-    rows = [(r.s, r.text) for r in hash_sample(every.where(F.length("text") < 20_000).select("s", "text"), F.xxhash64("text"), max_pages, pages.count()).collect()]
+    rows = [(r.s, r.text) for r in hash_sample(every.where(F.length("text") < max_chars).select("s", "text"), F.xxhash64("text"), max_pages, pages.count()).collect()]
     model = pages.sparkSession.sparkContext.broadcast(fit_labeller(rows, *recurrent_lines(every, rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

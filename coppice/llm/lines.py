@@ -33,30 +33,34 @@ def hashed_lines(records: DataFrame) -> DataFrame:
     return rows.where(F.col("line") != "").select("record_id", (F.col("pos") + 1).cast("int").alias("line_no"), "u", "s", F.xxhash64("line").alias("h"))
 
 
-def frequent(lines: DataFrame, min_urls: int) -> DataFrame:
-    """(s, h, n): the lines of a site under at least min_urls addresses. Two aggregations with map-side parts, so that no hot line or site meets in one task."""
-    return lines.groupBy("s", "h", "u").agg(F.lit(1).alias("one")).groupBy("s", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_urls)
+def frequent(lines: DataFrame, min_urls: int, min_share: float = 0.0) -> DataFrame:
+    """(s, h, n): the lines of a site under at least min_urls addresses and min_share of the site's addresses. Aggregations in steps with map-side parts, so that no hot line or site meets in one task."""
+    often = lines.groupBy("s", "h", "u").agg(F.lit(1).alias("one")).groupBy("s", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_urls)
+    if not min_share:
+        return often
+    every = lines.groupBy("s", "u").agg(F.lit(1).alias("one")).groupBy("s").agg(F.count("*").alias("urls"))
+    return often.join(every, "s").where(F.col("n") >= min_share * F.col("urls") - 1e-9).select("s", "h", "n")
 
 
-def repeated_lines(records: DataFrame, min_urls: int = 5, salts: int = 8) -> DataFrame:
-    """(record_id BIGINT, line_no INT) of each line that its site shows under at least min_urls addresses, each once.
+def repeated_lines(records: DataFrame, min_urls: int = 5, salts: int = 8, min_share: float = 0.0) -> DataFrame:
+    """(record_id BIGINT, line_no INT) of each line that its site shows under at least min_urls addresses and, where given, min_share of all its addresses, each once.
 
     Exact copies of a row give their lines once. Null or empty texts, blank lines and rows without a host give none.
-    The lines are joined with the frequent ones on (site, line, salt): salts part the lines of a hot site.
+    The lines are joined with the frequent ones on (site, line, salt): salts part the lines of a hot site, more where adaptive execution finds them skewed.
     """
     lines = hashed_lines(records)
-    often = frequent(lines, min_urls).select("s", "h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    often = frequent(lines, min_urls, min_share).select("s", "h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = lines.select("record_id", "line_no", "s", "h", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int").alias("salt"))
     return salted.join(often, ["s", "h", "salt"]).dropDuplicates(["s", "h", "salt", "record_id", "line_no"]).select("record_id", "line_no")
 
 
 def without_repeated_lines(records: DataFrame, min_urls: int = 5) -> DataFrame:
-    """(record_id, url, text, removed INT): each record once with its text rebuilt from the lines that its site does not repeat.
+    """(record_id, url, text, removed INT): each distinct row once with its text rebuilt from the lines that its site does not repeat.
 
     A null text stays null with removed 0; a text of nothing but repeated lines becomes the empty text.
     """
     hits = repeated_lines(records, min_urls).groupBy("record_id").agg(F.collect_set("line_no").alias("__gone"))
-    rows = records.dropDuplicates(["record_id"]).join(hits, "record_id", "left")
+    rows = records.distinct().join(hits, "record_id", "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i + 1))
     return rows.select(

@@ -42,6 +42,8 @@ def test_repeated_lines(spark):
         want = None if t is None else "\n".join(l for n, l in enumerate(t.split("\n"), 1) if (i, n) not in gone)
         assert clean[i].text == want
     assert lines.repeated_lines(df.limit(0)).count() == 0
+    share = {(x.record_id, x.line_no) for x in lines.repeated_lines(df, min_share=0.9).collect()}
+    assert share < brute_repeated(rows) and lines.repeated_lines(df, min_share=0.01).count() == len(brute_repeated(rows))
 
 
 # ---- splitting
@@ -297,6 +299,8 @@ def test_gradient_of_the_labeller():
     before = loss()
     lab.fit(pages, y, epochs=60)
     assert loss() < 0.2 * before
+    x = np.random.default_rng(2).normal(size=(950, lab.inputs(*pages[0][:3]).shape[1])).astype(np.float32)
+    assert np.allclose(lab.long_scores(x), lab.scores([x])[0], atol=1e-4)
     long = "\n".join(["a b"] * 1000)
     assert all(1 <= n <= 1000 for n in lab.main_lines([long, None, ""])[0])
 

@@ -299,6 +299,7 @@ def class_pairs(sets: DataFrame, threshold: float, buckets: int | None, hot: int
     tokens: dict[int, int] = {}
     if len(full):  # a token over hot fills its bucket, so there are at most (all shingles) / hot of them
         wanted = spark.createDataFrame([(int(x),) for x in full], "bucket bigint")
+        wanted = F.broadcast(wanted) if len(full) <= 1_000_000 else wanted  # the shingles need not be shuffled to meet them
         each = sets.select(F.explode("sh").alias("t")).withColumn("bucket", F.col("t").bitwiseAND(F.lit(buckets - 1)))
         tokens = {r.t: r.n for r in each.join(wanted, "bucket", "left_semi").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > hot).collect()}
     rank = spark.sparkContext.broadcast((counts.astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64), np.array(sorted(tokens), np.int64), np.array([tokens[t] for t in sorted(tokens)], np.int64)))

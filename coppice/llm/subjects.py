@@ -1,8 +1,9 @@
 """Subject areas of documents by class-association rules.
 
 Labelled documents are cut into sentences; a transaction is a sentence's words with the subjects of its document.
-Parallel frequent-pattern growth (the FP-growth of Spark ML) mines word sets that come with a subject; rules that a more
-general rule explains as well are pruned. A sentence's subject is the one with the most evidence of matching rules, each
+Parallel frequent-pattern growth mines word sets that come with a subject: each group of words gets the beginnings of the
+transactions, most frequent words first, that end in one of its words, keeps them in a tree with counts by subject and grows sets from
+the end. Rules that a more general rule explains as well are pruned, and so are branches in which no other rule can stand. A sentence's subject is the one with the most evidence of matching rules, each
 weighed by its calibrated log odds against the subject's share; a sentence without enough evidence has none. A document treats
 the subjects of at least `share` of its sentences.
 """
@@ -12,10 +13,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,14 +78,14 @@ class Rules(dict):
         super().__init__()
         self.least, self.rules = least, rules
         self.single: dict[str, list[tuple[str, float]]] = {}
-        self.double: dict[str, list[tuple[str, str, float]]] = {}
+        self.longer: dict[str, list[tuple[tuple[str, ...], str, float]]] = {}
         for ante, subject, conf, prior in rules:
             w = math.log(conf / (1 - conf)) - math.log(prior / (1 - prior))
             if len(ante) == 1:
                 self.single.setdefault(ante[0], []).append((subject, w))
             else:
-                self.double.setdefault(ante[0], []).append((ante[1], subject, w))
-        self.used = {*self.single, *self.double, *(o for v in self.double.values() for o, _, _ in v)}
+                self.longer.setdefault(ante[0], []).append((ante[1:], subject, w))
+        self.used = {w for ante, *_ in rules for w in ante}
 
     def __reduce__(self):
         return (Rules, (self.rules, self.least))
@@ -106,50 +107,151 @@ class Rules(dict):
         for w in ws:
             for s, x in self.single.get(w, ()):
                 score[s] = score.get(s, 0.0) + x
-            for other, s, x in self.double.get(w, ()):
-                if other in ws:
+            for others, s, x in self.longer.get(w, ()):
+                if ws.issuperset(others):
                     score[s] = score.get(s, 0.0) + x
         best = max(sorted(score), key=score.__getitem__, default=None)
         return best if best is not None and score[best] >= self.least else None
 
 
-def frequent_sets(sent: DataFrame, words_kept: list[str], subjects: list[str], least: int, n: int) -> dict[tuple[str, ...], int]:
-    """How often each kept word, pair of them, and either with a subject ("=" before it) comes in a sentence, at least `least` times.
+class Tree:
+    """Frequent-pattern tree: transactions as paths of ranks, each node with its count and the counts by subject."""
 
-    FP-growth over whole sentences would mine every frequent set of words, 2^k of them in a repeated sentence of k words. Rules have
-    one or two words, so a sentence is projected: each frequent pair is an item, alone with the subjects in its transaction, and no
-    set can have more than one pair. Subjects of a document are few, so their own sets stay few.
+    def __init__(self, width: int):
+        self.width = width
+        self.item, self.parent, self.counts = [-1], [-1], [[0] * width]
+        self.children: list[dict[int, int]] = [{}]
+        self.header: dict[int, list[int]] = {}
+
+    def insert(self, path: Iterable[int], counts: list[int]) -> None:
+        at = 0
+        for i in path:
+            nxt = self.children[at].get(i)
+            if nxt is None:
+                nxt = self.children[at][i] = len(self.item)
+                self.item.append(i)
+                self.parent.append(at)
+                self.counts.append([0] * self.width)
+                self.children.append({})
+                self.header.setdefault(i, []).append(nxt)
+            at, own = nxt, self.counts[nxt]
+            for k, c in enumerate(counts):
+                own[k] += c
+
+    def total(self, item: int) -> list[int]:
+        return [sum(c) for c in zip(*(self.counts[v] for v in self.header[item]))]
+
+    def before(self, item: int) -> list[tuple[list[int], list[int]]]:
+        """The conditional pattern base: what stands before the item, with the item's counts."""
+        out = []
+        for v in self.header[item]:
+            path, at = [], self.parent[v]
+            while at:
+                path.append(self.item[at])
+                at = self.parent[at]
+            out.append((path[::-1], self.counts[v]))
+        return out
+
+
+class Growth:
+    """Grows word sets of any length from a tree; no rule that stands after pruning is missed.
+
+    alone: for each rank, the confidences by subject of the word itself; prior: shares of the subjects.
+    A set as frequent as a part of it says the same as that part, and so does all that contains it. A subject is given up in a branch
+    where even the confidence of as many cases without an exception would not exceed that of a more general set by `gain`.
     """
-    table = sent.sparkSession.createDataFrame([(w,) for w in words_kept], "w string")  # bounded by the rules' minimum support
-    words_of = sent.withColumn("i", F.monotonically_increasing_id()).select("i", "subjects", F.explode("ws").alias("w")).join(table, "w")
-    basket = words_of.groupBy("i", "subjects").agg(F.array_sort(F.collect_set("w")).alias("ws")).select("ws", F.transform("subjects", lambda x: F.concat(F.lit("="), x)).alias("cs")).cache()
-    single = basket.select(F.explode("ws").alias("w"), "cs")
-    one = single.groupBy("w").agg(F.count("*").alias("n"), *[F.sum(F.array_contains("cs", f"={s}").cast("int")).alias(f"s{i}") for i, s in enumerate(subjects)])
-    sets: dict[tuple[str, ...], int] = {}
-    for r in one.where(F.col("n") >= least).collect():
-        sets[(r.w,)] = r.n
-        sets |= {tuple(sorted((r.w, f"={s}"))): r[f"s{i}"] for i, s in enumerate(subjects) if r[f"s{i}"] >= least}
-    # a pair is an item of its own: {pair, subject} are the frequent sets asked for, and no set is longer
-    both = F.flatten(F.transform("ws", lambda a: F.transform(F.filter("ws", lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
-    pairs = basket.select(F.explode(both).alias("p"), "cs")
-    often = pairs.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("p")
-    items = pairs.join(often, "p").select(F.concat(F.array("p"), "cs").alias("items"))
-    total = items.count()
-    if total:
-        model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=0.0, numPartitions=12).fit(items)
-        for r in model.freqItemsets.where((F.size("items") <= 2) & F.exists("items", lambda x: ~x.startswith("="))).collect():
-            pair = next(x for x in r["items"] if x[0] != "=")
-            sets[tuple(sorted([*pair.split(" "), *(x for x in r["items"] if x != pair)]))] = r["freq"]
-    basket.unpersist()
-    return sets
+
+    def __init__(self, alone: list[list[float]], prior: list[float], least: int, min_confidence: float, gain: float):
+        self.alone, self.prior, self.least, self.min_confidence, self.gain = alone, prior, least, min_confidence, gain
+
+    def grow(self, tree: Tree, items: Iterable[int], tail: tuple[int, ...] = (), tail_n: int = -1, alive: dict[int, float] | None = None) -> Iterator[tuple[tuple[int, ...], int, int, int]]:
+        """(ranks, subject, count, count with the subject) of sets of two words or more that are surer than their known parts. alive: the subjects to look for, with the best confidence of a part."""
+        alive = dict.fromkeys(range(len(self.prior)), 0.0) if alive is None else alive
+        for i in items:
+            n, *ks = tree.total(i)
+            if n == tail_n:
+                continue
+            ranks, go = (i, *tail), {}
+            for s, best in alive.items():
+                k, p = ks[s], 2 * self.prior[s]
+                if k < self.least:
+                    continue
+                best, c = max(best, self.alone[i][s]), (k + p) / (n + 2)
+                if tail and c > best and c >= self.min_confidence - self.gain:
+                    yield ranks, s, n, k
+                best, most = max(best, c), (k + p) / (k + 2)
+                if most >= self.min_confidence and most > best + self.gain:
+                    go[s] = best
+            if go:
+                base = tree.before(i)
+                seen: dict[int, list[int]] = {}
+                for path, counts in base:
+                    for j in path:
+                        own = seen.setdefault(j, [0] * tree.width)
+                        for k, c in enumerate(counts):
+                            own[k] += c
+                often = {j for j, own in seen.items() if own[0] < n and any(own[s + 1] >= self.least for s in go)}
+                if often:
+                    part = Tree(tree.width)
+                    for path, counts in base:
+                        part.insert([j for j in path if j in often], counts)
+                    yield from self.grow(part, sorted(often), ranks, n, go)
+
+
+_GROUPS = 48
+
+
+def frequent_sets(sent: DataFrame, words_kept: list[str], subjects: list[str], growth: Growth) -> dict[tuple[tuple[str, ...], str], tuple[int, int]]:
+    """{(words, subject): (count, count with the subject)} of sets of two words or more, see Growth.grow. words_kept: by rank, most frequent first."""
+    known = sent.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words_kept)}, {x: i for i, x in enumerate(subjects)}))
+
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(g, ranks, cs, n): for each group the longest beginning of a transaction that ends in a word of the group."""
+        rank, number = known.value
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*((g, list(r), list(c), n) for (g, r, c), n in held.items()))) or [(), (), (), ()]
+            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["g", "ranks", "cs", "n"])
+
+        for b in batches:
+            for subs, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ranks = tuple(sorted(rank[w] for w in ws if w in rank))
+                cs, given = tuple(sorted(number[x] for x in subs)), set()
+                for end in range(len(ranks), 0, -1):  # lone words too: they count in what a set is compared with
+                    g = ranks[end - 1] % _GROUPS
+                    if g not in given:
+                        given.add(g)
+                        held[g, ranks[:end], cs] += 1
+            if len(held) > 200_000:
+                yield out()
+                held.clear()
+        yield out()
+
+    def mined(part: pa.Table) -> pa.Table:
+        tree = Tree(1 + len(growth.prior))
+        for ranks, cs, n in zip(*(part[c].to_pylist() for c in ("ranks", "cs", "n"))):
+            counts = [n] + [0] * len(growth.prior)
+            for c in cs:
+                counts[c + 1] = n
+            tree.insert(ranks, counts)
+        g = part["g"][0].as_py()
+        rows = list(growth.grow(tree, [i for i in sorted(tree.header) if i % _GROUPS == g]))
+        kinds = (pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64())
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(("ranks", "s", "n", "k"), list(zip(*rows)) or [()] * 4, kinds)})
+
+    parts = sent.select("subjects", "ws").mapInArrow(beginnings, "g int, ranks array<int>, cs array<int>, n bigint")
+    found = parts.groupBy("g").applyInArrow(mined, "ranks array<int>, s int, n bigint, k bigint").collect()  # bounded as the rules are
+    return {(tuple(sorted(words_kept[i] for i in r.ranks)), subjects[r.s]): (r.n, r.k) for r in found}
 
 
 def mine(documents: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, min_count: int = 4, min_confidence: float = 0.5, gain: float = 0.05) -> list[tuple[tuple[str, ...], str, float, float]]:
     """Rules (words, subject, calibrated confidence, the subject's share of labelled sentences).
 
     Fitted on at most max_labelled labelled documents, chosen by hash (the documented bound). Words are kept if they come
-    with one subject at least min_confidence of the time; antecedents have one or two words. Supports are relative, so
-    the number of rules is bounded by the words a sentence can have and 1 / minimum support, not by the corpus.
+    with one subject at least min_confidence of the time; antecedents have as many words as make them surer by `gain` (above 0) than all
+    their parts. Supports are relative, so the number of rules is bounded by the words a sentence can have and 1 / minimum support, not by the corpus.
     """
     lab = labels.where(F.col("subject").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     near = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < int(2.0**53 * min(1.0, 2.0 * max_labelled / max(lab.count(), 1)))
@@ -163,22 +265,22 @@ def mine(documents: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000,
     per = sent.select(F.explode("ws").alias("w"), "subjects").groupBy("w").agg(F.count("*").alias("n"), *[F.sum(F.array_contains("subjects", s).cast("int")).alias(f"s{i}") for i, s in enumerate(sorted(prior))])
     least = max(min_count, n // 20_000)
     best = F.greatest(*[F.col(f"s{i}") for i in range(len(prior))], F.lit(0))
-    kept = [r.w for r in per.where((F.col("n") >= least) & (best >= min_confidence * F.col("n"))).select("w").collect()]
+    kept = per.where((F.col("n") >= least) & (best >= min_confidence * F.col("n"))).orderBy(F.desc("n"), "w").collect()
     if not kept:
         return []
-    sets = frequent_sets(sent, kept, sorted(prior), least, n)
+    subjects = sorted(prior)
+    shares = [prior[x] for x in subjects]
+    # calibrated: shrunk to the subject's share
+    alone = [[(r[f"s{i}"] + 2 * p) / (r.n + 2) if r[f"s{i}"] >= least else 0.0 for i, p in enumerate(shares)] for r in kept]
+    conf = {((r.w,), x): c for r, cs in zip(kept, alone) for x, c in zip(subjects, cs) if c}
+    sets = frequent_sets(sent, [r.w for r in kept], subjects, Growth(alone, shares, least, min_confidence, gain))
     sent.unpersist()
-    conf: dict[tuple[tuple[str, ...], str], float] = {}
-    for items, freq in sets.items():
-        ante, cls = tuple(i for i in items if i[0] != "="), [i[1:] for i in items if i[0] == "="]
-        if len(cls) == 1 and 1 <= len(ante) <= 2 and ante in sets:
-            total = sets[ante]
-            conf[ante, cls[0]] = (freq + 2 * prior[cls[0]]) / (total + 2)  # calibrated: shrunk to the subject's share
+    conf |= {(ante, x): (k + 2 * prior[x]) / (n + 2) for (ante, x), (n, k) in sets.items()}
     out = []
     for (ante, cls), c in sorted(conf.items()):
         if c < min_confidence:
             continue
-        if len(ante) == 2 and any(conf.get(((w,), cls), 0) + gain >= c for w in ante):
+        if any(conf.get((part, cls), 0) + gain >= c for k in range(1, len(ante)) for part in combinations(ante, k)):
             continue  # a more general rule says as much
         out.append((ante, cls, min(c, 0.995), prior[cls]))
     return out
